@@ -1,10 +1,11 @@
 """The queries of this folder, by name, and SQL for those that SQL can express."""
 
-from planeweave.llm import mixing, packing, urls
+from planeweave.llm import chat, mixing, packing, urls
 
 QUERIES = {
     "op2_digest_url_filter": urls.op2_digest_url_filter,
     "op6_pivotal_mix": mixing.op6_pivotal_mix,
     "op7_cost_balanced_packing": packing.op7_cost_balanced_packing,
+    "op9_fingerprint_chat_format": chat.op9_fingerprint_chat_format,
 }
-ORACLES = {"op2_digest_url_filter": urls.SQL}
+ORACLES = {"op2_digest_url_filter": urls.SQL, "op9_fingerprint_chat_format": chat.SQL}
