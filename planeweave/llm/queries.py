@@ -1,9 +1,10 @@
 """The queries of this folder, by name, and SQL for those that SQL can express."""
 
-from planeweave.llm import chat, mixing, packing, urls
+from planeweave.llm import chat, mixing, packing, simhash, urls
 
 QUERIES = {
     "op2_digest_url_filter": urls.op2_digest_url_filter,
+    "op5_deletion_variant_simhash": simhash.op5_deletion_variant_simhash,
     "op6_pivotal_mix": mixing.op6_pivotal_mix,
     "op7_cost_balanced_packing": packing.op7_cost_balanced_packing,
     "op9_fingerprint_chat_format": chat.op9_fingerprint_chat_format,
