@@ -1,12 +1,13 @@
 """The queries of this folder, by name, and SQL for those that SQL can express."""
 
-from planeweave.llm import chat, mixing, packing, simhash, urls
+from planeweave.llm import chat, licenses, mixing, packing, simhash, urls
 
 QUERIES = {
     "op2_digest_url_filter": urls.op2_digest_url_filter,
+    "op3_prefix_license_scan": licenses.op3_prefix_license_scan,
     "op5_deletion_variant_simhash": simhash.op5_deletion_variant_simhash,
     "op6_pivotal_mix": mixing.op6_pivotal_mix,
     "op7_cost_balanced_packing": packing.op7_cost_balanced_packing,
     "op9_fingerprint_chat_format": chat.op9_fingerprint_chat_format,
 }
-ORACLES = {"op2_digest_url_filter": urls.SQL, "op9_fingerprint_chat_format": chat.SQL}
+ORACLES = {"op2_digest_url_filter": urls.SQL, "op3_prefix_license_scan": licenses.SQL, "op9_fingerprint_chat_format": chat.SQL}
