@@ -1,6 +1,6 @@
 """The queries of this folder, by name, and SQL for those that SQL can express."""
 
-from planeweave.llm import chat, licenses, mixing, packing, simhash, urls
+from planeweave.llm import chat, licenses, mixing, packing, simhash, toxicity, urls
 
 QUERIES = {
     "op2_digest_url_filter": urls.op2_digest_url_filter,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_deletion_variant_simhash": simhash.op5_deletion_variant_simhash,
     "op6_pivotal_mix": mixing.op6_pivotal_mix,
     "op7_cost_balanced_packing": packing.op7_cost_balanced_packing,
+    "op8_blockmax_toxicity": toxicity.op8_blockmax_toxicity,
     "op9_fingerprint_chat_format": chat.op9_fingerprint_chat_format,
 }
 ORACLES = {"op2_digest_url_filter": urls.SQL, "op3_prefix_license_scan": licenses.SQL, "op9_fingerprint_chat_format": chat.SQL}

@@ -19,6 +19,8 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 #: Hosts blocked unless a rule says otherwise.
 BLOCKED = ("casino-win.example.net", "free-bets.example.net", "cheap-pills.example.net", "adult-x.example.com", "ads-track.example.com", "spam-farm.example.org")
 MOST_BYTES = 1 << 30
+#: (application, file name) of what has been handed out: a file of one content is added once.
+_SHIPPED: set[tuple[str, str]] = set()
 
 
 def host_of(url):
@@ -77,10 +79,12 @@ def ship(spark, array: bytes) -> str:
     if len(array) > MOST_BYTES:
         raise ValueError(f"the list takes {len(array)} bytes; at most {MOST_BYTES} are handed to an executor: split it by host and filter in turn")
     name = f"urls-{hashlib.sha256(array).hexdigest()[:24]}.bin"
-    folder = tempfile.mkdtemp(prefix="planeweave-urls-")
-    with open(os.path.join(folder, name), "wb") as f:
-        f.write(array)
-    spark.sparkContext.addFile(os.path.join(folder, name))
+    if (spark.sparkContext.applicationId, name) not in _SHIPPED:
+        folder = tempfile.mkdtemp(prefix="planeweave-urls-")
+        with open(os.path.join(folder, name), "wb") as f:
+            f.write(array)
+        spark.sparkContext.addFile(os.path.join(folder, name))
+        _SHIPPED.add((spark.sparkContext.applicationId, name))
     return name
 
 
