@@ -15,6 +15,8 @@ from planeweave.plans.storage import materialize
 #: A-Z to a-z; letters, digits and bytes from 0x80 stay; all else parts words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 STEMS = (4, 5, 6)
+#: A term is a feature that a text holds this often at least: cosine alone forgets how often.
+LEVELS = (1, 2, 3)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -26,14 +28,19 @@ def features_of(word: bytes) -> list[bytes]:
     return [word, *(word[:n] + b"*" for n in STEMS if len(word) > n)]
 
 
+def levelled(counts: dict) -> Iterator[tuple]:
+    """(feature, level) for every level that a feature's count reaches."""
+    return ((f, n) for f, c in counts.items() for n in LEVELS if c >= n)
+
+
 class Terms(dict):
-    """word -> ids of its terms; remembers words up to a bound."""
+    """word -> its known features; remembers words up to a bound. ids: (feature, level) -> term."""
 
-    def __init__(self, ids: dict[bytes, int], most: int = 200_000):
-        self.ids, self.most = ids, most
+    def __init__(self, ids: dict[tuple[bytes, int], int], most: int = 200_000):
+        self.ids, self.most, self.features = ids, most, {f for f, _ in ids}
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        found = tuple(self.ids[f] for f in features_of(word) if f in self.ids)
+    def __missing__(self, word: bytes) -> tuple[bytes, ...]:
+        found = tuple(f for f in features_of(word) if f in self.features)
         if len(self) >= self.most:
             self.clear()
         self[word] = found
@@ -41,8 +48,8 @@ class Terms(dict):
 
     def vector(self, text: str | None) -> dict[int, int]:
         """Term counts of the whole text."""
-        said = list(map(self.__getitem__, words_of(text)))
-        return Counter(t for ts in said if ts for t in ts)
+        counts = Counter(f for fs in map(self.__getitem__, words_of(text)) if fs for f in fs)
+        return {self.ids[k]: counts[k[0]] for k in levelled(counts) if k in self.ids}
 
 
 def trains(doc_id: Column, parts: int = 5) -> Column:
@@ -67,7 +74,7 @@ def sampled_labels(labels: DataFrame, most: int, parts: int = 5, seed: int = 42)
     return materialize(out, "sample")
 
 
-def telling_terms(docs: DataFrame, sample: DataFrame, most: int) -> list[bytes]:
+def telling_terms(docs: DataFrame, sample: DataFrame, most: int) -> list[tuple[bytes, int]]:
     """The terms most tied to label 1 in the sample, by the log-likelihood ratio of document counts.
 
     Only those over 2 ln(number of terms looked at), that is, hardly there by chance.
@@ -76,22 +83,26 @@ def telling_terms(docs: DataFrame, sample: DataFrame, most: int) -> list[bytes]:
         for pdf in batches:
             n: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
-                n[toxic].update({f for w in set(words_of(text)) for f in features_of(w)})
+                counts: Counter = Counter()
+                for w, c in Counter(words_of(text)).items():
+                    for f in features_of(w):
+                        counts[f] += c
+                n[toxic].update(levelled(counts))
             keys = list(n[0].keys() | n[1].keys())
-            yield pd.DataFrame({"term": keys, "clean": [n[0][k] for k in keys], "toxic": [n[1][k] for k in keys]})
+            yield pd.DataFrame({"term": [k[0] for k in keys], "level": [k[1] for k in keys], "clean": [n[0][k] for k in keys], "toxic": [n[1][k] for k in keys]})
 
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    counts = texts.mapInPandas(counted, "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where("t >= 2")
+    counts = texts.mapInPandas(counted, "term binary, level int, clean long, toxic long").groupBy("term", "level").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where("t >= 2")
     counts = materialize(counts, "counts")
     kinds = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     nt, nc, looked = max(kinds.get(1, 0), 1), max(kinds.get(0, 0), 1), counts.count()
     p = (F.col("t") + F.col("c")) / F.lit(float(nt + nc))
     gain = 2 * (F.col("t") * F.log(F.col("t") / (nt * p)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (nc * p))).otherwise(0.0))
     best = counts.where(F.col("t") / nt > 2 * F.col("c") / nc).withColumn("gain", gain).where(F.col("gain") >= 2 * np.log(max(looked, 2)))
-    return [bytes(r.term) for r in best.orderBy(F.desc("gain"), "term").limit(most).collect()]
+    return [(bytes(r.term), r.level) for r in best.orderBy(F.desc("gain"), "term", "level").limit(most).collect()]
 
 
-def vectors(docs: DataFrame, terms: list[bytes]) -> DataFrame:
+def vectors(docs: DataFrame, terms: list[tuple[bytes, int]]) -> DataFrame:
     """(doc_id, terms, counts) of every row: the ids of the terms its whole text holds, and how often."""
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Terms({t: i for i, t in enumerate(terms)})
@@ -166,7 +177,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 class Model:
     """Index, calibration, and the score of a text."""
 
-    def __init__(self, terms: list[bytes], index: BlockMaxIndex, k: int = 16):
+    def __init__(self, terms: list[tuple[bytes, int]], index: BlockMaxIndex, k: int = 16):
         self.terms, self.index, self.k = {t: i for i, t in enumerate(terms)}, index, k
         empty = np.array([not len(t) for t, _ in index.unit_of], bool)
         y, w = index.toxic.astype(float), index.weight
