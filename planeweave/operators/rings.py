@@ -69,7 +69,8 @@ def trace(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def ray_nearest(points: DataFrame, edges: DataFrame, band: int, tags: list[str]) -> DataFrame:
     """points (gid, x, y, ...) with the tags (as near_*) of the edge that a ray to -x meets first, null if none.
 
-    An edge from y1 to y2 > y1 counts for y1 <= y < y2 where it lies strictly left of the point.
+    An edge from y1 to y2 > y1 counts for y1 <= y < y2 where it lies strictly left of the point. Of edges that leave one
+    vertex at the point's height upward, the rightmost one is met first.
     """
     up = F.col("sy") < F.col("ey")
     lo = lambda a, b: F.when(up, F.col(a)).otherwise(F.col(b))
@@ -80,7 +81,7 @@ def ray_nearest(points: DataFrame, edges: DataFrame, band: int, tags: list[str])
     # where the edge is at the point's height: whole part, then the rest as a fraction compared exactly by doubles of small terms
     num, den = (F.col("y") - F.col("ay")) * (F.col("bx") - F.col("ax")), F.col("by") - F.col("ay")
     whole = F.col("ax") + F.call_function("div", num - F.pmod(num, den), den)
-    best = met.groupBy("__ask").agg(F.max_by(F.struct(*[f"near_{t}" for t in tags]), F.struct(whole, F.pmod(num, den) / den)).alias("near"))
+    best = met.groupBy("__ask").agg(F.max_by(F.struct(*[f"near_{t}" for t in tags]), F.struct(whole, F.pmod(num, den) / den, (F.col("bx") - F.col("ax")) / den)).alias("near"))
     return asked.select("__ask").join(best, "__ask", "left").select(*[F.col(f"__ask.{c}").alias(c) for c in points.columns], *[F.col(f"near.near_{t}").alias(f"near_{t}") for t in tags])
 
 

@@ -48,14 +48,16 @@ def winding(edges: DataFrame, cell: int, needs_wide: bool = False) -> DataFrame:
     )
     asks = mid.select("gid", "r", "c", *ends, "power", c("mx2").alias("mx2"), c("my2").alias("my2"), (2 * c("r") * h - 1).alias("low2"), (2 * c("c") * h - 1).alias("left2"))
     near = asks.join(held, ["gid", "r", "c"])
+    itself = "f_sx = sx and f_sy = sy and f_ex = ex and f_ey = ey"
     # does f cross the cell's lower line between the corner and the midpoint's x?
     num = "(2 * ax * (by - ay) + (low2 - 2 * ay) * (bx - ax))"
     first = F.expr(f"if(p_up <> 0 and 2 * ay < low2 and low2 < 2 * by and {num} > left2 * (by - ay) and {num} <= mx2 * (by - ay), p_up, 0L)")
     # does it pass between that line and the midpoint, just right of it?
     y = "(2 * ly * (rx - lx) + (mx2 - 2 * lx) * (ry - ly))"
-    itself = "f_sx = sx and f_sy = sy and f_ex = ex and f_ey = ey"
     second = F.expr(f"if(p_over <> 0 and not ({itself}) and 2 * lx <= mx2 and mx2 < 2 * rx and {y} < my2 * (rx - lx) and ({y} > low2 * (rx - lx) or ({y} = low2 * (rx - lx) and ry > ly)), p_over, 0L)")
-    local = near.groupBy("gid", *ends, "power", "r", "c").agg(F.sum(first + second).alias("local"))
+    # an edge that falls through its own midpoint on that line has been crossed there, in the corner's sum or in the first
+    own = F.expr(f"if({itself} and my2 = low2 and rx > lx and ry < ly, -p_up, 0L)")
+    local = near.groupBy("gid", *ends, "power", "r", "c").agg(F.sum(first + second + own).alias("local"))
     below = local.join(corners, ["gid", "r", "c"]).withColumn("w", F.col("corner") + F.col("local"))
     is_right = F.when(F.col("sx") == F.col("ex"), up).otherwise(F.col("sx") < F.col("ex"))
     out = below.withColumn("w_right", F.when(is_right, F.col("w")).otherwise(F.col("w") + F.col("power")))
