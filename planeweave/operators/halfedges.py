@@ -48,26 +48,30 @@ def vertex_components(edges: DataFrame, vertices: DataFrame | None = None) -> Da
     return rows.join(numbered, ["gid", "cx", "cy"]).select("gid", "x", "y", "cx", "cy", "component", "size")
 
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One chain's edges in order: from the vertex that no edge enters, or around a cycle from its least vertex."""
-    ahead = {(r.sx, r.sy): (r.ex, r.ey) for r in pdf.itertuples()}
-    first = ahead.keys() - set(ahead.values())
-    at = start = min(first or ahead)
-    path = [start]
-    while at in ahead:
-        at = ahead[at]
-        path.append(at)
-        if at == start:
-            break
-    points = [{"x": int(x), "y": int(y)} for x, y in path]
-    return pd.DataFrame([{"gid": pdf["gid"].iloc[0], "power": int(pdf["power"].iloc[0]), "closed": not first, "path": points}])
+@F.pandas_udf("struct<closed:boolean,path:array<struct<x:long,y:long>>>")
+def _walked(edges: pd.Series) -> pd.DataFrame:
+    """Chains in order from lists of sx, sy, ex, ey, whether the edge starts at a chain end."""
+    closed, paths = [], []
+    for chain in edges:
+        ahead = {(e[0], e[1]): (e[2], e[3]) for e in chain}
+        ends = [(e[0], e[1]) for e in chain if e[4]]
+        at = start = ends[0] if ends else min(ahead)
+        path = [start]
+        while True:
+            at = ahead[at]
+            path.append(at)
+            if at == start or at not in ahead:
+                break
+        closed.append(not ends)
+        paths.append([{"x": int(x), "y": int(y)} for x, y in path])
+    return pd.DataFrame({"closed": closed, "path": paths})
 
 
 def chains(edges: DataFrame) -> DataFrame:
     """(gid, power, closed, path): maximal paths through vertices that are no chain ends, and cycles without such a vertex.
 
     A path that comes back to the chain end it left is not closed in this sense. Edges of one chain are found as
-    components of edges that meet at a vertex inside a chain; a task orders one chain, which is one row anyway.
+    components of edges that meet at a vertex inside a chain; the order of a chain's points is made in its own row.
     """
     edges = edges.select("gid", *EDGE, "power")
     inner = degrees(edges).where("n_out = 1 and n_in = 1 and p_out = p_in").select("gid", "x", "y")
@@ -77,23 +81,10 @@ def chains(edges: DataFrame) -> DataFrame:
     meet = into.join(inner, ["gid", "x", "y"]).join(out, ["gid", "x", "y"])
     label = connected_components(meet.select("src", "dst"))
     named = edges.withColumn("node", edge).join(label, "node", "left").withColumn("chain", F.coalesce("component", "node"))
-    # a cycle at one chain end leaves and enters the same vertex: its edges start at distinct vertices all the same
-    kind = dict(edges.dtypes)["gid"]
-    loops = named.select("gid", *EDGE, "power", "chain")
-    ends = chain_ends(edges).select("gid", F.col("x").alias("sx"), F.col("y").alias("sy"), F.lit(True).alias("end"))
-    loops = loops.join(ends, ["gid", "sx", "sy"], "left")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _walk(pdf)
-        if found["closed"].iloc[0] and pdf["end"].notna().any():
-            row = pdf[pdf["end"].notna()].iloc[0]
-            path = found["path"].iloc[0][:-1]
-            k = path.index({"x": int(row.sx), "y": int(row.sy)})
-            found.at[0, "path"] = path[k:] + path[:k] + [path[k]]
-            found["closed"] = False
-        return found
-
-    return loops.groupBy("chain").applyInPandas(walk, f"gid {kind}, power long, closed boolean, path array<struct<x:long,y:long>>")
+    ends = chain_ends(edges).select("gid", F.col("x").alias("sx"), F.col("y").alias("sy"), F.lit(1).alias("end"))
+    rows = named.join(ends, ["gid", "sx", "sy"], "left")
+    held = rows.groupBy("chain").agg(F.min("power").alias("power"), F.collect_list(F.array(*EDGE, F.coalesce("end", F.lit(0)).cast("long"))).alias("edges"))
+    return held.select("chain.gid", F.col("power").cast("long").alias("power"), _walked("edges").alias("w")).select("gid", "power", "w.closed", "w.path")
 
 
 def half_edges(edges: DataFrame) -> DataFrame:

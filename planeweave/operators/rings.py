@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from planeweave.functions.exact import counter_clockwise
 from planeweave.operators.graph import connected_components
 from planeweave.plans.storage import materialize
+from planeweave.sources.geometry import ring_area2
 
 EDGE = ["sx", "sy", "ex", "ey"]
 
@@ -30,9 +31,12 @@ def successors(edges: DataFrame) -> DataFrame:
     return at.select("gid", (F.col("vx") + F.col("s.dx")).alias("sx"), (F.col("vy") + F.col("s.dy")).alias("sy"), F.col("vx").alias("ex"), F.col("vy").alias("ey"), (F.col("vx") + following["dx"]).alias("nx"), (F.col("vy") + following["dy"]).alias("ny"))
 
 
-def _order(keys: list[str], out_schema: str):
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        follows = dict(zip(zip(pdf["sx"], pdf["sy"], pdf["ex"], pdf["ey"]), zip(pdf["ex"], pdf["ey"], pdf["nx"], pdf["ny"])))
+@F.pandas_udf("array<struct<x:int,y:int>>")
+def _in_order(edges: pd.Series) -> pd.Series:
+    """Closed rings from lists of sx, sy, ex, ey, nx, ny, each from its least edge."""
+    out = []
+    for ring in edges:
+        follows = {tuple(e[:4]): tuple(e[2:]) for e in map(list, ring)}
         first = e = min(follows)
         points = []
         while True:
@@ -40,12 +44,8 @@ def _order(keys: list[str], out_schema: str):
             e = follows[e]
             if e == first:
                 break
-        points.append(points[0])
-        area2 = sum(b["x"] * a["y"] - a["x"] * b["y"] for a, b in zip(points, points[1:]))
-        head = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame([head | {"rx": int(first[0]), "ry": int(first[1]), "rex": int(first[2]), "rey": int(first[3]), "area2": area2, "ring": points}])
-
-    return ordered
+        out.append([*points, points[0]])
+    return pd.Series(out, dtype=object)
 
 
 def trace(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -60,9 +60,9 @@ def trace(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     labels = connected_components(follow.select(node(*EDGE).alias("src"), node("ex", "ey", "nx", "ny").alias("dst")))
     own = labels.select("node.gid", F.col("node.a").alias("sx"), F.col("node.b").alias("sy"), F.col("node.c").alias("ex"), F.col("node.d").alias("ey"), F.col("component.a").alias("rx"), F.col("component.b").alias("ry"), F.col("component.c").alias("rex"), F.col("component.d").alias("rey"))
     own = materialize(own, "ring-edges")
-    kind = dict(edges.dtypes)["gid"]
-    schema = f"gid {kind}, rx long, ry long, rex long, rey long, area2 long, ring array<struct<x:int,y:int>>"
-    rings = follow.join(own, ["gid", *EDGE]).groupBy("gid", "rx", "ry", "rex", "rey").applyInPandas(_order(["gid"], schema), schema)
+    held = follow.join(own, ["gid", *EDGE]).groupBy("gid", "rx", "ry", "rex", "rey").agg(F.collect_list(F.array(*EDGE, "nx", "ny")).alias("edges"))
+    rings = held.select("gid", "rx", "ry", "rex", "rey", _in_order("edges").alias("ring"))
+    rings = rings.select("gid", "rx", "ry", "rex", "rey", ring_area2(F.col("ring")).alias("area2"), "ring")
     return materialize(rings, "rings"), own
 
 
