@@ -16,6 +16,7 @@ from planeweave.plans.storage import materialize
 BUCKETS = 512  # of word endings
 END = b""  # no word is empty
 EDGE = 3  # places before a text's first word
+BLOCK = 64  # rows of weights that are summed together
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -188,7 +189,7 @@ def _in_blocks(batches: Iterator[pd.DataFrame], tokens: int = 200_000) -> Iterat
 
 
 def gradient(training: DataFrame, model: LanguageModel, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over all tasks of expectations(); tasks send one row for each used row of weights."""
+    """Sums over all tasks of expectations(); tasks send the used rows of weights, in blocks."""
     spark = training.sparkSession
     sent = spark.sparkContext.broadcast((model, weights))
     k = model.n_classes
@@ -200,17 +201,21 @@ def gradient(training: DataFrame, model: LanguageModel, weights: np.ndarray) ->
             seq, _, _ = m.encode(pdf["text"])
             m.expectations(seq, np.flatnonzero(seq != m.m + BUCKETS), w, seen, expected)
         both = np.concatenate([seen, expected], 2).reshape(-1, 2 * k)
-        used = np.flatnonzero(both.any(1))
-        yield pd.DataFrame({"row": used.astype(np.int32), "sums": [both[i].tobytes() for i in used]})
+        for i in range(0, len(both), BLOCK):
+            used = np.flatnonzero(both[i : i + BLOCK].any(1))
+            if len(used):
+                yield pd.DataFrame({"block": [i], "rows": [used.astype(np.uint8).tobytes()], "sums": [both[i + used].tobytes()]})
 
     def added(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(b, np.float32).astype(float) for b in pdf["sums"]], axis=0)
-        return pd.DataFrame({"row": [key[0]], "sums": [total.astype(np.float32).tobytes()]})
+        total = np.zeros((BLOCK, 2 * k))
+        for rows, sums in zip(pdf["rows"], pdf["sums"]):
+            total[np.frombuffer(rows, np.uint8)] += np.frombuffer(sums, np.float32).reshape(-1, 2 * k)
+        return pd.DataFrame({"block": [key[0]], "sums": [total.astype(np.float32).tobytes()]})
 
-    parts = training.select("text").mapInPandas(summed, "row int, sums binary")
+    parts = training.select("text").mapInPandas(summed, "block int, rows binary, sums binary")
     both = np.zeros((4 * model.rows, 2 * k), np.float32)
-    for r in parts.groupBy("row").applyInPandas(added, "row int, sums binary").collect():
-        both[r.row] = np.frombuffer(r.sums, np.float32)
+    for r in parts.groupBy("block").applyInPandas(added, "block int, sums binary").collect():
+        both[r.block : r.block + BLOCK] = np.frombuffer(r.sums, np.float32).reshape(-1, 2 * k)[: len(both) - r.block]
     sent.unpersist()
     both = both.reshape(4, model.rows, 2 * k)
     return both[:, :, :k], both[:, :, k:]
