@@ -48,7 +48,6 @@ def vertex_components(edges: DataFrame, vertices: DataFrame | None = None) -> Da
     return rows.join(numbered, ["gid", "cx", "cy"]).select("gid", "x", "y", "cx", "cy", "component", "size")
 
 
-@F.pandas_udf("struct<closed:boolean,path:array<struct<x:long,y:long>>>")
 def _walked(edges: pd.Series) -> pd.DataFrame:
     """Chains in order from lists of sx, sy, ex, ey, whether the edge starts at a chain end."""
     closed, paths = [], []
@@ -83,8 +82,9 @@ def chains(edges: DataFrame) -> DataFrame:
     named = edges.withColumn("node", edge).join(label, "node", "left").withColumn("chain", F.coalesce("component", "node"))
     ends = chain_ends(edges).select("gid", F.col("x").alias("sx"), F.col("y").alias("sy"), F.lit(1).alias("end"))
     rows = named.join(ends, ["gid", "sx", "sy"], "left")
+    walked = F.pandas_udf(_walked, "struct<closed:boolean,path:array<struct<x:long,y:long>>>")
     held = rows.groupBy("chain").agg(F.min("power").alias("power"), F.collect_list(F.array(*EDGE, F.coalesce("end", F.lit(0)).cast("long"))).alias("edges"))
-    return held.select("chain.gid", F.col("power").cast("long").alias("power"), _walked("edges").alias("w")).select("gid", "power", "w.closed", "w.path")
+    return held.select("chain.gid", F.col("power").cast("long").alias("power"), walked("edges").alias("w")).select("gid", "power", "w.closed", "w.path")
 
 
 def half_edges(edges: DataFrame) -> DataFrame:

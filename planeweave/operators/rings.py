@@ -31,7 +31,6 @@ def successors(edges: DataFrame) -> DataFrame:
     return at.select("gid", (F.col("vx") + F.col("s.dx")).alias("sx"), (F.col("vy") + F.col("s.dy")).alias("sy"), F.col("vx").alias("ex"), F.col("vy").alias("ey"), (F.col("vx") + following["dx"]).alias("nx"), (F.col("vy") + following["dy"]).alias("ny"))
 
 
-@F.pandas_udf("array<struct<x:int,y:int>>")
 def _in_order(edges: pd.Series) -> pd.Series:
     """Closed rings from lists of sx, sy, ex, ey, nx, ny, each from its least edge."""
     out = []
@@ -61,7 +60,7 @@ def trace(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = labels.select("node.gid", F.col("node.a").alias("sx"), F.col("node.b").alias("sy"), F.col("node.c").alias("ex"), F.col("node.d").alias("ey"), F.col("component.a").alias("rx"), F.col("component.b").alias("ry"), F.col("component.c").alias("rex"), F.col("component.d").alias("rey"))
     own = materialize(own, "ring-edges")
     held = follow.join(own, ["gid", *EDGE]).groupBy("gid", "rx", "ry", "rex", "rey").agg(F.collect_list(F.array(*EDGE, "nx", "ny")).alias("edges"))
-    rings = held.select("gid", "rx", "ry", "rex", "rey", _in_order("edges").alias("ring"))
+    rings = held.select("gid", "rx", "ry", "rex", "rey", F.pandas_udf(_in_order, "array<struct<x:int,y:int>>")("edges").alias("ring"))
     rings = rings.select("gid", "rx", "ry", "rex", "rey", ring_area2(F.col("ring")).alias("area2"), "ring")
     return materialize(rings, "rings"), own
 
