@@ -55,7 +55,7 @@ def json_paths(record: Column) -> Column:
     """
 
     def paths(key: Column) -> Column:
-        inner = F.json_object_keys(F.get_json_object(record, F.concat(F.lit("$['"), key, F.lit("'][0]"))))
+        inner = F.json_object_keys(F.call_function("get_json_object", record, F.concat(F.lit("$['"), key, F.lit("'][0]"))))
         return F.coalesce(F.transform(inner, lambda x: F.concat(key, F.lit("[]."), x)), F.array(key))
 
     return F.flatten(F.transform(F.json_object_keys(record), paths))
