@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planeweave.llm.shingles import near_copies
 from planeweave.operators.graph import connected_components
 from planeweave.plans.storage import materialize
 
@@ -185,8 +186,12 @@ def op5_deletion_variant_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one of the smallest doc_id, rows that repeat counting as one."""
-    found = materialize(near_duplicates(docs).select("doc_id", "text_hash", "group_fp"), "near")
+    """One document of each component stays: the one of the smallest doc_id, rows that repeat counting as one.
+
+    Components are of texts at 0.8 or more of five-word shingle similarity (see near_copies). Such pairs differ in about
+    10 of 64 SimHash bits, too many for deletion variants, so fingerprints of three words and two bits are op5's alone.
+    """
+    found = materialize(near_copies(docs).select("doc_id", "text_hash", "group_fp"), "near")
     kept = found.groupBy("group_fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.text_hash").alias("k_hash"))
     kept = materialize(kept, "kept")
     own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())

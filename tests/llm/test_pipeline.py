@@ -1,4 +1,10 @@
+from itertools import combinations
+
+import numpy as np
+import pytest
+
 import corpus_pipeline
+from planeweave.llm import shingles, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +28,40 @@ def test_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs.unionByName(odd), SF).count()
         stage(spark, docs.where("false"), SF).count()
+
+
+@pytest.mark.parametrize("most", [200, 3])
+def test_near_copies_against_brute_force(spark, most):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(words, rng.integers(20, 200))) for _ in range(40)]
+    for t in list(texts):
+        for edits in rng.integers(1, 9, 3):
+            w = t.split()
+            for at in rng.choice(len(w), min(edits, len(w)), False):
+                w[at] = "edited"
+            texts.append(" ".join(w))
+    passage = " ".join(rng.choice(words, 60))
+    texts += [passage + " " + " ".join(rng.choice(words, 60)) for _ in range(20)]
+    texts += [passage + f" end {i}" for i in range(20)] + ["a b", "A  b", "", None, " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = [set(zip(*(w[k:] for k in range(5)))) if len(w := (t or "").lower().split()) >= 5 else {tuple(w)} - {()} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = 0
+    for i, j in combinations(range(len(texts)), 2):
+        both = len(made[i] & made[j])
+        if 5 * both >= 4 * (len(made[i]) + len(made[j]) - both):
+            pairs += made[i] != made[j] and (simhash.simhash64(texts[i]) ^ simhash.simhash64(texts[j])).bit_count() > 2
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    group, first = {r.doc_id: r.group_fp for r in shingles.near_copies(docs, most=most).collect()}, {}
+    for i in range(len(texts)):
+        first.setdefault(group[i], i)
+    assert pairs > 20 and [first[group[i]] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+    if most == 200:
+        assert sorted(r.doc_id for r in simhash.dedup_stage(spark, docs, SF).collect()) == sorted({find(i) for i in range(len(texts))})
