@@ -221,12 +221,12 @@ def gradient(training: DataFrame, model: LanguageModel, weights: np.ndarray) ->
     return both[:, :, :k], both[:, :, k:]
 
 
-def train(docs: DataFrame, singles: int = 32, k: int = 16, most_known: int = 150_000, rows: int = 2048, strata: int = 8, updates: int = 4) -> tuple[LanguageModel, DataFrame, dict]:
+def train(docs: DataFrame, singles: int = 32, k: int = 16, most_known: int = 150_000, rows: int = 2048, updates: int = 4) -> tuple[LanguageModel, DataFrame, dict]:
     """The model, the counts of all training tokens (token, bucket, c), and N and V.
 
     docs has doc_id, text, held_out. Counts, classes and P(token | class) come from every training text. Weights get
-    ``updates`` gradient steps in the log domain (iterative scaling), each from the sums over its own one of ``strata``
-    parts of the training documents, chosen by a hash of doc_id; that share grows with the input. The model holds at most
+    ``updates`` gradient steps in the log domain (iterative scaling), each from the sums over its own one of
+    ``updates`` parts of the training documents, chosen by a hash of doc_id, so that every one is in a step. The model holds at most
     most_known tokens one by one (a bound of its memory), and none that was seen less than three times: rare tokens show how
     often and where unseen ones come. All others are counted and looked up by join.
     """
@@ -251,7 +251,7 @@ def train(docs: DataFrame, singles: int = 32, k: int = 16, most_known: int = 150
     model = LanguageModel([bytes(r.token) for r in known], np.array([r.c for r in known], float), rare, cluster(near.reshape(BUCKETS, BUCKETS), k), singles, rows)
     prior = np.exp(model.bias.astype(float))
     for u in range(updates):
-        mine = training.where(F.pmod(F.xxhash64(F.lit(11), F.col("doc_id").cast("string")), F.lit(strata)) == u % strata)
+        mine = training.where(F.pmod(F.xxhash64(F.lit(11), F.col("doc_id").cast("string")), F.lit(updates)) == u)
         seen, expected = gradient(mine, model, model.weights)
         model.weights = np.clip(model.weights + (0.4 * np.log((seen + 4 * prior) / (expected + 4 * prior))).astype(np.float32), -8, 8).astype(np.float32)
     return model, counts.join(F.broadcast(docs.sparkSession.createDataFrame([(least,)], "least int")), F.floor(4 * F.log2("c")) < F.col("least")).select("token", "c"), {"N": int(total), "V": int(types)}

@@ -159,6 +159,20 @@ def test_chat_round_trip_and_layouts(spark):
     assert got == [("prompt_completion", [("user", "a"), ("assistant", "b")]), ("instruction_input_output", [("user", "i"), ("assistant", "o")]), ("conversations", [("user", "h"), ("assistant", "")]), (None, None), (None, None), (None, None), ("messages", [("user", "q")])]
 
 
+@pytest.mark.parametrize("updates", [2, 4])
+def test_every_training_document_is_in_a_step(spark, monkeypatch, updates):
+    seen = []
+
+    def gradient(mine, model, weights):
+        seen.extend(r.doc_id for r in mine.select("doc_id").collect())
+        return np.zeros(weights.shape), np.zeros(weights.shape)
+
+    monkeypatch.setattr(lm, "gradient", gradient)
+    docs = spark.createDataFrame([(i, f"some words {i}", i % 7 == 2) for i in range(300)], "doc_id long, text string, held_out boolean")
+    lm.train(docs, updates=updates)
+    assert sorted(seen) == [i for i in range(300) if i % 7 != 2]
+
+
 def test_language_model(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     rows = lm.score_texts(docs, updates=2).collect()
