@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +22,14 @@ def _said(*parts: tuple[str, str]) -> str:
 
 
 def _listed(field: str, role: str, text: str) -> str:
-    return f"transform({field}, m -> named_struct('role', m.{role}, 'text', m.{text}))"
+    return f"transform(filter({field}, m -> m is not null), m -> named_struct('role', m.{role}, 'text', m.{text}))"
+
+
+def _either(field: str) -> str:
+    """Each element by its own key, content or text; no turns if one has both."""
+    both = f"exists({field}, m -> coalesce(m.content is not null and m.text is not null, false))"
+    said = f"transform(filter({field}, m -> m is not null), m -> named_struct('role', m.role, 'text', coalesce(m.content, m.text)))"
+    return f"if({both}, null, {said})"
 
 
 #: The field paths of a layout, and SQL over the parsed record r that makes its turns.
@@ -29,6 +38,8 @@ LAYOUTS = {
     "messages_text": (("messages[].role", "messages[].text"), _listed("r.messages", "role", "text")),
     "conversations": (("conversations[].from", "conversations[].value"), _listed("r.conversations", "`from`", "value")),
     "system_messages": (("system", "messages[].role", "messages[].content"), f"concat({_said(('system', 'r.system'))}, {_listed('r.messages', 'role', 'content')})"),
+    "messages_mixed": (("messages[].role", "messages[].content", "messages[].text"), _either("r.messages")),
+    "system_messages_mixed": (("system", "messages[].role", "messages[].content", "messages[].text"), f"concat({_said(('system', 'r.system'))}, {_either('r.messages')})"),
     "prompt_completion": (("prompt", "completion"), _said(("user", "r.prompt"), ("assistant", "r.completion"))),
     "prompt_response": (("prompt", "response"), _said(("user", "r.prompt"), ("assistant", "r.response"))),
     "question_answer": (("question", "answer"), _said(("user", "r.question"), ("assistant", "r.answer"))),
@@ -48,31 +59,39 @@ def fingerprint(paths: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.array_distinct(F.transform(paths, F.lower))), "\n"), 256)
 
 
+def name_print(names) -> str:
+    """fingerprint() of the names of columns."""
+    return hashlib.sha256("\n".join(sorted({n.lower() for n in names})).encode()).hexdigest()
+
+
 def json_paths(record: Column) -> Column:
-    """Leaf paths of a JSON object as the layouts have them: its keys, and the keys of the objects in its lists.
+    """Leaf paths of a JSON object as the layouts have them: its keys, and the keys of all the objects in its lists.
 
-    The first element of a list stands for all. Null where the record is null or no object.
+    Null elements have none. Null where the record is null or no object.
     """
 
     def paths(key: Column) -> Column:
-        inner = F.json_object_keys(F.call_function("get_json_object", record, F.concat(F.lit("$['"), key, F.lit("'][0]"))))
-        return F.coalesce(F.transform(inner, lambda x: F.concat(key, F.lit("[]."), x)), F.array(key))
+        value = F.call_function("get_json_object", record, F.concat(F.lit("$['"), key, F.lit("']")))
+        elements = F.from_json(F.when(F.ltrim(value).startswith("["), value), "array<map<string,string>>")
+        inner = F.array_distinct(F.flatten(F.transform(F.filter(elements, lambda m: m.isNotNull()), F.map_keys)))
+        return F.when(F.size(inner) > 0, F.transform(inner, lambda x: F.concat(key, F.lit("[]."), x))).otherwise(F.array(key))
 
     return F.flatten(F.transform(F.json_object_keys(record), paths))
 
 
-def canonical_turns(records: DataFrame, record_col: str = "record", ignore=("id", "meta", "source", "lang")) -> DataFrame:
+def canonical_turns(records: DataFrame, record_col: str = "record", ignore=("id", "meta", "source", "lang"), ignore_listed=("name",)) -> DataFrame:
     """The input's columns, and layout (string) and turns (array of role, text), for JSON records of mixed layouts.
 
-    The nested field paths of each record, those in ``ignore`` aside, are hashed, and the hash selects the declarative
+    The nested field paths of each record, those in ``ignore`` and keys of listed objects in either aside, are hashed, and the hash selects the declarative
     mapping (LAYOUTS) that makes the turns; the order of fields is of no matter. Null, broken and empty records and
-    unknown layouts have a null layout and null turns. In lists, null texts and roles are ''. Role names are lower-cased
+    unknown layouts have a null layout and null turns. In lists, null elements are no turns, null texts and roles are ''. Role names are lower-cased
     and read by ROLES. Input columns named layout or turns are replaced; rows that repeat stay.
     """
     keep = [F.col(f"in.{c}").alias(c) for c in records.columns if c.lower() not in ("layout", "turns")]
     rows = records.select(F.struct(*[F.col(c) for c in records.columns]).alias("in"))
     record = F.col(f"in.{record_col}")
-    paths = F.filter(json_paths(record), lambda p: ~F.lower(p).isin(*ignore))
+    aside = [*ignore, *ignore_listed]
+    paths = F.filter(json_paths(record), lambda p: ~F.when(F.contains(p, F.lit("[].")), F.lower(F.substring_index(p, "[].", -1)).isin(*aside)).otherwise(F.lower(p).isin(*ignore)))
     rows = rows.select("in", fingerprint(paths).alias("print"), F.from_json(record, T._parse_datatype_string(_RECORD)).alias("r"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for name, (fields, sql) in LAYOUTS.items():
@@ -98,7 +117,8 @@ def turns_of_rows(table: DataFrame) -> DataFrame:
     conversation id is a conversation. A conversation becomes one row, whatever its length.
     """
     have = {c.lower() for c in table.columns}
-    fit = next((names for names in TURN_TABLES if have.issuperset(names)), None)
+    prints = {name_print(names): names for names in TURN_TABLES}
+    fit = next((prints[p] for p in (name_print(have.intersection(names)) for names in TURN_TABLES) if p in prints), None)
     if fit is None:
         raise ValueError(f"no known layout of turns: {sorted(have)}")
     conv, order, role, text = fit

@@ -159,6 +159,17 @@ def test_chat_round_trip_and_layouts(spark):
     assert got == [("prompt_completion", [("user", "a"), ("assistant", "b")]), ("instruction_input_output", [("user", "i"), ("assistant", "o")]), ("conversations", [("user", "h"), ("assistant", "")]), (None, None), (None, None), (None, None), ("messages", [("user", "q")])]
 
 
+def test_all_elements_of_a_list_count(spark):
+    records = [
+        '{"messages":[{"role":"user","content":"q"},{"role":"assistant","text":"a"}]}', '{"messages":[{"role":"user","name":"x","content":"q"},{"role":"assistant","content":"a"}]}',
+        '{"messages":[null,{"role":"user","content":"q"}]}', '{"messages":[{"role":"user","content":"q"},{"role":"user","content":"q","text":"z"}]}', '{"messages":[{"role":"user","content":"q"},{"role":"tool","result":"z"}]}',
+    ]
+    got = [(r.layout, r.turns and [tuple(t) for t in r.turns]) for r in chat.canonical_turns(spark.createDataFrame([(x,) for x in records], "record string").coalesce(1)).collect()]
+    two = [("user", "q"), ("assistant", "a")]
+    assert got == [("messages_mixed", two), ("messages", two), ("messages", [("user", "q")]), ("messages_mixed", None), (None, None)]
+    assert chat.name_print(["B", "a"]) == spark.range(1).select(chat.fingerprint(F.array(F.lit("a"), F.lit("B")))).first()[0]
+
+
 @pytest.mark.parametrize("updates", [2, 4])
 def test_every_training_document_is_in_a_step(spark, monkeypatch, updates):
     seen = []
