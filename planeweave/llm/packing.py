@@ -149,4 +149,5 @@ def op7_cost_balanced_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs).drop("ids")
+    """All columns of pack(): the token ids too, 4 little-endian bytes each."""
+    return pack(docs)

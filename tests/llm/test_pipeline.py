@@ -65,3 +65,9 @@ def test_near_copies_against_brute_force(spark, most):
     assert pairs > 20 and [first[group[i]] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
     if most == 200:
         assert sorted(r.doc_id for r in simhash.dedup_stage(spark, docs, SF).collect()) == sorted({find(i) for i in range(len(texts))})
+
+
+def test_packed_ids_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert rows and all(len(r.ids) == 4 * r.length for r in rows)
