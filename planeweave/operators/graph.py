@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planeweave.plans.storage import materialize
+from planeweave.plans.storage import discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Self-loops, repeated edges and either direction are harmless; edges with a null end are ignored; an empty table gives
     an empty result. In each round a node takes the smallest label among its neighbours, hands it to the node that its own
     label names, so that whole trees move at once, and then jumps along the labels: a path of n nodes needs about log n
-    rounds. Every round is written to the shared folder.
+    rounds. Every round is written to the shared folder, and what it was made of is deleted.
     """
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null")
     e = e.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"))
@@ -28,7 +28,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         roots = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
         jumped = materialize(step.join(roots, "label").select("node", F.least("label", "root").alias("label"), "before"), "labels")
         changed = jumped.where("label <> before").limit(1).count()
-        labels = jumped.select("node", "label")
+        discard(step, labels)
+        labels = jumped
         if not changed:
+            discard(e)
             return labels.select("node", F.col("label").alias("component"))
+        labels = labels.drop("before")
+        labels._materialized = jumped._materialized
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

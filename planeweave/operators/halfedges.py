@@ -114,11 +114,6 @@ def component_rays(edges: DataFrame, band: int) -> DataFrame:
     return ray_nearest(materialize(starts, "leftmost"), edges, band, EDGE)
 
 
-def winding_kept(half: DataFrame, keep, w: str = "w") -> DataFrame:
-    """Rows whose winding number passes the predicate."""
-    return half.where(keep(F.col(w)))
-
-
 def half_edge_winding(faces: DataFrame) -> DataFrame:
     """(gid, sx, sy, ex, ey, w) of every half edge: the winding number of the face on its right."""
     c: Column = F.array(F.struct(*EDGE, F.col("w_right").cast("long").alias("w")), F.struct(F.col("ex").alias("sx"), F.col("ey").alias("sy"), F.col("sx").alias("ex"), F.col("sy").alias("ey"), F.col("w_left").cast("long").alias("w")))

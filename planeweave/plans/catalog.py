@@ -213,7 +213,7 @@ def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("closed_chains", _sql(_DEGREES + """,
 mid as (select gid, x, y from degree where n_out = 1 and n_in = 1 and p_out = p_in),
-round(gid, fx, fy, x, y, n) as (select e.gid, sx, sy, ex, ey, 2 from edges e join mid v on v.gid = e.gid and v.x = sx and v.y = sy
+round(gid, fx, fy, x, y, n) as (select e.gid, sx, sy, ex, ey, 2 from edges e join mid v on v.gid = e.gid and v.x = sx and v.y = sy where (ex, ey) > (sx, sy)
   union all select r.gid, r.fx, r.fy, e.ex, e.ey, n + 1 from round r join mid v on v.gid = r.gid and v.x = r.x and v.y = r.y join edges e on e.gid = r.gid and e.sx = r.x and e.sy = r.y
   where (e.ex, e.ey) >= (r.fx, r.fy) and (r.x, r.y) <> (r.fx, r.fy))
 select gid, fx, fy, cast(n as bigint) as n_points from round where (x, y) = (fx, fy)"""))

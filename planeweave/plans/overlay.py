@@ -36,21 +36,10 @@ class Overlay:
         if b is not None:
             steps = steps.unionByName(segments(b, self.keys, geometry, backwards=op == "difference"))
         gid = F.struct(*self.keys) if self.keys else F.struct(F.lit(0).alias("all"))
-        self._of(steps.select(gid.alias("gid"), *arrange.ENDS), cell)
-
-    def _of(self, steps: DataFrame, cell: int | None) -> None:
-        self.bag = materialize(arrange.bag(steps), "bag")
+        self.bag = materialize(arrange.bag(steps.select(gid.alias("gid"), *arrange.ENDS)), "bag")
         size, self.wide = arrange.grid_of(self.bag)
         self.cell = cell or size
 
-    @classmethod
-    def of_steps(cls, steps: DataFrame, keep: Callable[[Column], Column] = KEEP["union"], cell: int | None = None) -> Overlay:
-        """Of directed steps (gid, x1, y1, x2, y2) at once."""
-        self = cls.__new__(cls)
-        self.keys, self.keep = None, keep
-        self._of(steps, cell)
-        return self
-
     @property
     def edges(self) -> DataFrame:
         """Planar edges (gid, sx, sy, ex, ey, power)."""
@@ -70,8 +59,6 @@ class Overlay:
 
     def _named(self, df: DataFrame) -> DataFrame:
         """gid back to the keys."""
-        if self.keys is None:
-            return df
         rest = [c for c in df.columns if c != "gid"]
         return df.select(*[F.col(f"gid.{k}").alias(k) for k in self.keys], *rest)
 
