@@ -6,21 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from planeweave.operators.graph import connected_components
 from planeweave.plans.storage import materialize
 
-RADIUS, BITS, TURNS, TABLES = 8, 128, 24, 4
+RADIUS, BITS, TURNS, SUB = 9, 128, 24, 4  # SUB: positions are kept in quarters of a pixel
 _rng = np.random.default_rng(7)
-_spots = np.clip(_rng.normal(0, 3.0, (BITS, 2, 2)), -5.5, 5.5)
+_spots = _rng.normal(0, 4.0, (BITS, 2, 2))
+_spots *= np.minimum(1, 8.0 / np.linalg.norm(_spots, axis=2, keepdims=True))
 _angles = 2 * np.pi * np.arange(TURNS) / TURNS
 _spin = np.stack([np.stack([np.cos(_angles), -np.sin(_angles)], 1), np.stack([np.sin(_angles), np.cos(_angles)], 1)], 1)
 #: Where each binary test looks, by orientation: (turn, test, side, x and y).
 SPOTS = np.rint(np.einsum("tij,bsj->tbsi", _spin, _spots)).astype(np.int64)
 _yy, _xx = np.mgrid[-7:8, -7:8]
 _disk = (_xx**2 + _yy**2 <= 49).astype(float)
+#: A corner as it is stored: place, level, turn, descriptor.
+CORNER = np.dtype([("x", "<i4"), ("y", "<i4"), ("level", "u1"), ("turn", "u1"), ("bits", "<u8", (2,))])
 
 
 def _box(a: np.ndarray) -> np.ndarray:
@@ -30,168 +34,211 @@ def _box(a: np.ndarray) -> np.ndarray:
     return (r[:, :, :-2] + r[:, :, 1:-1] + r[:, :, 2:]) / 9
 
 
-def describe(images: np.ndarray, per_level: int = 24, levels: int = 2) -> list[np.ndarray]:
-    """For each image of a stack (n, height, width): rows x, y, level, turn, four 32-bit words, as int64.
+def _shrunk(a: np.ndarray, factor: float) -> np.ndarray:
+    """Every image smaller by the factor, by bilinear interpolation."""
+    h, w = a.shape[1:]
+    y, x = (np.clip((np.arange(int(n / factor)) + 0.5) * factor - 0.5, 0, n - 1) for n in (h, w))
+    y0, x0 = np.minimum(y.astype(int), h - 2), np.minimum(x.astype(int), w - 2)
+    rows = a[:, y0] * (1 - (y - y0))[None, :, None] + a[:, y0 + 1] * (y - y0)[None, :, None]
+    return rows[:, :, x0] * (1 - (x - x0)) + rows[:, :, x0 + 1] * (x - x0)
 
-    Corners are local maxima of the Harris response at each level of a half-size pyramid, the per_level strongest of each
-    (a setting of the method, as everywhere). A corner's orientation is that of its intensity centroid, in TURNS steps;
-    the binary tests are turned by it. Adding to all pixels or scaling them changes neither.
+
+def describe(images: np.ndarray, apart: int = 2, chunk: int = 8192) -> list[np.ndarray]:
+    """The corners (CORNER) of each image of a stack (n, height, width).
+
+    Corners are all places whose Harris response is the largest within ``apart`` pixels, at every level of a pyramid whose
+    levels shrink by the square root of two until the tests no longer fit; how many there are grows with the picture. A
+    corner's orientation is that of its intensity centroid, in TURNS steps; the binary tests are turned by it. Adding to all
+    pixels or scaling them changes neither.
     """
-    n, level = len(images), images.astype(float)
-    out: list[list[np.ndarray]] = [[np.empty((0, 8), np.int64)] for _ in range(n)]
-    for depth in range(levels):
+    base = images.astype(float)
+    level, depth, found, m = base, 0, [], RADIUS
+    while min(level.shape[1:]) >= 2 * RADIUS + 3:
         h, w = level.shape[1:]
-        if min(h, w) < 2 * RADIUS + 3:
-            break
         smooth = _box(level)
         gy, gx = np.gradient(smooth, axis=(1, 2))
         xx, yy, xy = (_box(_box(a)) for a in (gx * gx, gy * gy, gx * gy))
         r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        peak = np.ones((n, h - 2, w - 2), bool)
-        inner = r[:, 1:-1, 1:-1]
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
+        inner = r[:, m : h - m, m : w - m]
+        peak = inner > 1e-6
+        for dy in range(-apart, apart + 1):
+            for dx in range(-apart, apart + 1):
                 if dx or dy:
-                    peak &= inner > r[:, 1 + dy : h - 1 + dy, 1 + dx : w - 1 + dx]
-        peak[:, : RADIUS - 1], peak[:, h - 1 - RADIUS :], peak[:, :, : RADIUS - 1], peak[:, :, w - 1 - RADIUS :] = False, False, False, False
-        peak &= inner > 1e-6
-        i, y, x = np.nonzero(peak)
-        strength = inner[i, y, x]
-        order = np.lexsort((x, y, -strength, i))
-        i, y, x = i[order], y[order] + 1, x[order] + 1
-        keep = np.arange(len(i)) - np.searchsorted(i, i) < per_level
-        i, y, x = i[keep], y[keep], x[keep]
-        if len(i):
+                    peak &= inner > r[:, m + dy : h - m + dy, m + dx : w - m + dx]
+        at = np.stack(np.nonzero(peak), 1)
+        for a in range(0, len(at), chunk):
+            i, y, x = at[a : a + chunk].T + np.array([[0], [m], [m]])
             patch = smooth[i[:, None, None], y[:, None, None] + _yy, x[:, None, None] + _xx] * _disk
             angle = np.arctan2((patch * _yy).sum((1, 2)), (patch * _xx).sum((1, 2)))
             turn = np.rint(angle * TURNS / (2 * np.pi)).astype(np.int64) % TURNS
-            at = SPOTS[turn]
-            v = smooth[i[:, None, None], y[:, None, None] + at[..., 1], x[:, None, None] + at[..., 0]]
-            words = np.packbits(v[:, :, 0] < v[:, :, 1], axis=1).reshape(len(i), TABLES, 4).astype(np.int64)
-            words = words[..., 0] << 24 | words[..., 1] << 16 | words[..., 2] << 8 | words[..., 3]
-            rows = np.column_stack([x << depth, y << depth, np.full(len(i), depth), turn, words])
-            for k in np.unique(i):
-                out[k].append(rows[i == k])
-        level = level[:, : h // 2 * 2, : w // 2 * 2].reshape(n, h // 2, 2, w // 2, 2).mean((2, 4))
-    return [np.concatenate(o) for o in out]
-
-
-def descriptors(images: DataFrame) -> DataFrame:
-    """(image, digest, x, y, level, turn, w0..w3): one row a corner; one row with null x for an image without any."""
+            spot = SPOTS[turn]
+            v = smooth[i[:, None, None], y[:, None, None] + spot[..., 1], x[:, None, None] + spot[..., 0]]
+            rows = np.zeros(len(i), CORNER)
+            rows["x"], rows["y"] = (np.rint(SUB * ((c + 0.5) * 2 ** (depth / 2) - 0.5)) for c in (x, y))
+            rows["level"], rows["turn"] = depth, turn
+            rows["bits"] = np.packbits(v[:, :, 0] < v[:, :, 1], axis=1).view("<u8")
+            found.append((i, rows))
+        depth += 1
+        level = _shrunk(_box(base) if depth < 3 else _box(_box(base)), 2 ** (depth / 2))
+    if not found:
+        return [np.zeros(0, CORNER)] * len(images)
+    i, rows = np.concatenate([i for i, _ in found]), np.concatenate([r for _, r in found])
+    order = np.argsort(i, kind="stable")
+    return np.split(rows[order], np.searchsorted(i[order], np.arange(1, len(images))))
+
+
+def constellations(corners: np.ndarray, near: int = 2, tables: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, corner of each): for each corner, each of the nearest others of its level, and each table, a hash of a 32-bit word
+    of both descriptors and of the turn between them. A key comes once, with its first corner."""
+    keys, owner = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for depth in np.unique(corners["level"]):
+        at = np.flatnonzero(corners["level"] == depth)
+        r = corners[at]
+        if len(at) < 2:
+            continue
+        nearest = np.empty((len(at), min(near, len(at) - 1)), np.int64)
+        for a in range(0, len(at), 512):
+            part = r[a : a + 512]
+            d = (part["x"][:, None] - r["x"][None, :]).astype(float) ** 2 + (part["y"][:, None] - r["y"][None, :]).astype(float) ** 2
+            d[np.arange(len(part)), np.arange(a, a + len(part))] = np.inf
+            nearest[a : a + 512] = np.argsort(d, 1, kind="stable")[:, : nearest.shape[1]]
+        words = r["bits"].reshape(-1, 2).view("<u4").astype(np.uint64)
+        for j in nearest.T:
+            between = (r["turn"][j].astype(np.int64) - r["turn"]) % TURNS
+            for t in range(tables):
+                h = words[:, t] * np.uint64(0x9E3779B97F4A7C15) ^ (words[j, t] + (between.astype(np.uint64) << np.uint64(32)) + (np.uint64(t) << np.uint64(40))) * np.uint64(0xBF58476D1CE4E5B9)
+                keys.append((h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB))
+                owner.append(at)
+    key, first = np.unique(np.concatenate(keys), return_index=True)
+    return key.view(np.int64), np.concatenate(owner)[first]
+
+
+def consensus_of(a: np.ndarray, b: np.ndarray, most_bits: int = 12, bin_px: int = 6, chunk: int = 512) -> int:
+    """The most corners of a that meet corners of b within most_bits and agree on one similarity: turn, step of levels, and a shift
+    within a bin of bin_px (on two overlapping grids)."""
+    pairs = [np.empty((0, 2), np.int64)]
+    for i in range(0, len(a), chunk):
+        d = np.bitwise_count(a["bits"][i : i + chunk, None, :] ^ b["bits"][None, :, :]).sum(2)
+        pairs.append(np.argwhere(d <= most_bits) + [i, 0])
+    i, j = np.concatenate(pairs).T
+    if not len(i):
+        return 0
+    p, q = a[i], b[j]
+    turn, step = (q["turn"].astype(np.int64) - p["turn"]) % TURNS, q["level"].astype(np.int64) - p["level"]
+    cos, sin, scale = np.cos(turn * (2 * np.pi / TURNS)), np.sin(turn * (2 * np.pi / TURNS)), 2.0 ** (step / 2)
+    shift = np.stack([q["x"] - scale * (cos * p["x"] - sin * p["y"]), q["y"] - scale * (sin * p["x"] + cos * p["y"])], 1)
+    best = 0
+    for grid in (0, bin_px * SUB / 2):
+        bins = np.floor((shift + grid) / (bin_px * SUB)).astype(np.int64)
+        votes = np.unique(np.column_stack([turn, step, bins, i]), axis=0)
+        best = max(best, int(np.unique(votes[:, :4], axis=0, return_counts=True)[1].max()))
+    return best
+
+
+def descriptors(images: DataFrame, pixels_at_once: int = 1 << 20) -> DataFrame:
+    """(image, digest, corners: CORNER bytes), one row an image, written; digest tells equal pixels of one size."""
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ok = [isinstance(p, (bytes, bytearray)) and w > 0 and h > 0 and len(p) == w * h for p, w, h in zip(pdf["pixels"], pdf["width"].fillna(0), pdf["height"].fillna(0))]
-            found: list[np.ndarray] = [np.empty((0, 8), np.int64)] * len(pdf)
-            shapes = list(zip(pdf["height"], pdf["width"]))
-            for shape in {s for s, good in zip(shapes, ok) if good}:
-                at = [i for i, s in enumerate(shapes) if s == shape and ok[i]]
-                for a in range(0, len(at), 256):
-                    part = at[a : a + 256]
-                    stack = np.stack([np.frombuffer(pdf["pixels"].iloc[i], np.uint8).reshape(int(shape[0]), int(shape[1])) for i in part])
-                    for i, rows in zip(part, describe(stack)):
-                        found[i] = rows
-            yield pd.DataFrame({"image": pdf["image"], "digest": pdf["digest"], "corners": [r.tolist() for r in found]})
+            shapes = [(int(h), int(w)) if isinstance(p, (bytes, bytearray)) and w > 0 and h > 0 and len(p) == w * h else None for p, w, h in zip(pdf["pixels"], pdf["width"].fillna(0), pdf["height"].fillna(0))]
+            found: list[bytes] = [b""] * len(pdf)
+            for h, w in set(shapes) - {None}:
+                at = [i for i, s in enumerate(shapes) if s == (h, w)]
+                size = max(1, min(256, pixels_at_once // (h * w)))
+                for a in range(0, len(at), size):
+                    part = at[a : a + size]
+                    for i, rows in zip(part, describe(np.stack([np.frombuffer(pdf["pixels"].iloc[i], np.uint8).reshape(h, w) for i in part]))):
+                        found[i] = rows.tobytes()
+            yield pd.DataFrame({"image": pdf["image"], "digest": pdf["digest"], "corners": found})
 
     rows = images.select("image", "width", "height", "pixels", F.sha2(F.concat_ws("|", F.col("width").cast("string"), F.col("height").cast("string"), F.hex("pixels")), 256).alias("digest"))
-    made = materialize(rows.mapInPandas(described, "image long, digest string, corners array<array<long>>"), "corners")
-    return made
-
-
-def _meet(key, fp: np.ndarray, most_bits: int) -> np.ndarray:
-    """Pairs of rows of fp (image, x, y, level, turn, words) of different images with descriptors within most_bits."""
-    words = fp[:, 5:9].astype(np.uint32)
-    d = np.bitwise_count(words[:, None, :] ^ words[None, :, :]).sum(2)
-    i, j = np.nonzero((d <= most_bits) & (fp[:, None, 0] < fp[None, :, 0]))
-    first = np.zeros(len(i), np.int64)  # the table where a pair meets first answers for it
-    same = words[i] == words[j]
-    first[:] = same.argmax(1)
-    keep = first == int(key) >> 32
-    return np.column_stack([fp[i[keep]][:, :5], fp[j[keep]][:, :5]])
-
-
-def edited_copies(images: DataFrame, id_col: str = "image", most_bits: int = 12, consensus: int = 4, bin_px: int = 6, most: int = 512) -> DataFrame:
-    """image, class_id, n_links, n_corners for every row of (image, width, height, pixels: one byte a pixel, row by row).
-
-    Two images link if at least ``consensus`` corners of one meet corners of the other (128-bit descriptors within most_bits
-    that agree in one of four 32-bit words; up to three differing bits always do) and agree on one similarity: same turn, same level
-    step, and a shift within a bin of bin_px (two overlapping grids). class_id is the smallest id that links and equal
-    pixels reach; n_links counts linked images that differ, equal ones as one. Null, empty or broken pixels: no
-    corners, a class by equal pixels alone. Rows of one id count as one image for links; each row returns. Buckets over ``most`` descriptors
-    are compared block by block in tasks of their own, so none is dropped.
+    return materialize(rows.mapInPandas(described, "image long, digest string, corners binary"), "corners")
+
+
+def _keyed(own: DataFrame) -> DataFrame:
+    """(key, image, x, y, level, turn): the constellations of every image, a key once in an image."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys, images, rows = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.zeros(0, CORNER)]
+            for image, b in zip(pdf["image"], pdf["corners"]):
+                corners = np.frombuffer(b, CORNER)
+                k, at = constellations(corners)
+                keys.append(k)
+                images.append(np.full(len(k), image))
+                rows.append(corners[at])
+            r = np.concatenate(rows)
+            yield pd.DataFrame({"key": np.concatenate(keys), "image": np.concatenate(images), **{c: r[c].astype(np.int32) for c in ("x", "y", "level", "turn")}})
+
+    return own.mapInPandas(made, "key long, image long, x int, y int, level int, turn int")
+
+
+def _agreeing(pairs: DataFrame, bin_px: int) -> DataFrame:
+    """(a, b): images of which two corners or more agree on a similarity, of pairs (p, q) of corners that share a key.
+
+    Votes are summed by bin before they are sent: a bin has two corners if the least and the greatest in it differ.
+    """
+    p, q = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"q.{c}"))
+    turn, step = F.pmod(q("turn") - p("turn"), F.lit(TURNS)), q("level") - p("level")
+    theta, scale = turn * F.lit(2 * np.pi / TURNS), F.pow(F.lit(2.0), step / 2)
+    shift = (q("x") - scale * (F.cos(theta) * p("x") - F.sin(theta) * p("y")), q("y") - scale * (F.sin(theta) * p("x") + F.cos(theta) * p("y")))
+    grid = F.explode(F.array(F.lit(0.0), F.lit(bin_px * SUB / 2.0)))
+    rows = pairs.select(p("image").alias("a"), q("image").alias("b"), F.struct(p("x"), p("y"), p("level")).alias("corner"), turn.alias("t"), step.alias("s"), shift[0].alias("tx"), shift[1].alias("ty"), grid.alias("g"))
+    at = lambda c: F.floor((F.col(c) + F.col("g")) / (bin_px * SUB)).alias(c)
+    bins = rows.select("a", "b", "corner", "t", "s", "g", at("tx"), at("ty")).groupBy("a", "b", "t", "s", "g", "tx", "ty").agg(F.min("corner").alias("low"), F.max("corner").alias("high"))
+    return bins.where("low <> high").select("a", "b").distinct()
+
+
+def _verified(pairs: DataFrame, own: DataFrame, most_bits: int, consensus: int, bin_px: int) -> DataFrame:
+    """(src, dst) of the pairs (a, b) whose corners reach the consensus."""
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = [consensus_of(np.frombuffer(x, CORNER), np.frombuffer(y, CORNER), most_bits, bin_px) >= consensus for x, y in zip(pdf["x"], pdf["y"])]
+            yield pdf.loc[np.array(ok, bool), ["a", "b"]].rename(columns={"a": "src", "b": "dst"})
+
+    x, y = (own.select(F.col("image").alias(c), F.col("corners").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(judged, "src long, dst long"), "links")
+
+
+def edited_copies(images: DataFrame, id_col: str = "image", most_bits: int = 12, consensus: int = 4, bin_px: int = 6) -> DataFrame:
+    """image, class_id, n_corners for every row of (image, width, height, pixels: one byte a pixel, row by row).
+
+    Two images link if at least ``consensus`` corners of one meet corners of the other, within most_bits of 128, and agree on
+    one similarity (see consensus_of); class_id is the smallest id that links and equal pixels reach. Candidates come from
+    Hamming tables over constellations: a corner and a near one whose 32-bit words are equal (see constellations); two keys of
+    a pair have to agree on a similarity before descriptors are compared. That is an index: recall against all pairs is
+    measured in the tests.
+
+    Equal pixels are one node. Under each key all images are first tried with the least one; after that only those that no
+    link has joined yet are tried with each other, so a large group of copies takes about one comparison each. Null, empty or
+    broken pixels, and images too small for a descriptor, have no corners and a class by equal pixels alone. Rows of one id
+    are one node for links; each row returns. Null ids return with the class of their pixels. An empty table gives no rows.
     """
     rows = images.select(F.col(id_col).cast("long").alias("image"), "width", "height", "pixels")
     made = descriptors(rows)
     reps = made.groupBy("digest").agg(F.min("image").alias("rep"))
-    own = made.join(reps, "digest").where("image = rep").dropDuplicates(["digest"]).select("image", F.explode("corners").alias("c"))
-    c = lambda i: F.col("c")[i]
-    spots = own.select("image", *[c(i).alias(n) for i, n in enumerate(("x", "y", "level", "turn", "w0", "w1", "w2", "w3"))])
-    keyed = spots.withColumn("key", F.explode(F.array(*[F.col(f"w{t}") + F.lit(t << 32) for t in range(TABLES)])))
-    names = ["image", "x", "y", "level", "turn", "w0", "w1", "w2", "w3"]
-    schema = "kind int, key long, n long, " + ", ".join(f"{n} long" for n in names) + ", image2 long, x2 long, y2 long, level2 long, turn2 long"
-
-    def frame(kind: int, key, n: int, left: np.ndarray, right: np.ndarray | None = None) -> pd.DataFrame:
-        out = pd.DataFrame(left, columns=names[: left.shape[1]]).assign(kind=kind, key=key, n=n)
-        for k, name in enumerate(("image2", "x2", "y2", "level2", "turn2")):
-            out[name] = 0 if right is None else right[:, k]
-        for name in names[left.shape[1] :]:
-            out[name] = 0
-        return out[["kind", "key", "n", *names, "image2", "x2", "y2", "level2", "turn2"]]
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_key, held, large, n = None, [], False, 0
-
-        def close() -> Iterator[pd.DataFrame]:
-            if held_key is not None and not large and n > 1:
-                pairs = _meet(held_key, np.concatenate(held), most_bits)
-                if len(pairs):
-                    yield frame(0, held_key, 0, pairs[:, :5], pairs[:, 5:])
-
-        for pdf in batches:
-            keys, values = pdf["key"].to_numpy(), pdf[names].to_numpy(np.int64)
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-            for a, b in zip(starts, np.r_[starts[1:], len(keys)]):
-                if keys[a] != held_key:
-                    yield from close()
-                    held_key, held, large, n = int(keys[a]), [], False, 0
-                held.append(values[a:b])
-                n += b - a
-                if n > most:
-                    for part in held:
-                        yield frame(1, held_key, 0, part)
-                    large, held = True, []
-        yield from close()
-
-    met = materialize(keyed.repartition("key").sortWithinPartitions("key", "image").mapInPandas(scan, schema), "met")
-    votes = met.where("kind = 0").select("image", "x", "y", "level", "turn", "image2", "x2", "y2", "level2", "turn2")
-    large = met.where("kind = 1").select("key", *names)
-    if large.limit(1).count():
-        blocks = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).alias("blocks"))
-        own_block = large.join(blocks, "key").withColumn("b", F.pmod(F.xxhash64("image", "x", "y", "level"), F.col("blocks")))
-        lows = own_block.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        lows = lows.withColumn("lo", F.least("b", "o")).withColumn("hi", F.greatest("b", "o"))
-
-        def block(key, pdf: pd.DataFrame) -> pd.DataFrame:
-            pairs = _meet(key[0], pdf[names].to_numpy(np.int64), most_bits)
-            inside = pd.DataFrame(pairs, columns=["image", "x", "y", "level", "turn", "image2", "x2", "y2", "level2", "turn2"])
-            return inside
-
-        votes = votes.unionByName(lows.groupBy("key", "lo", "hi").applyInPandas(block, "image long, x long, y long, level long, turn long, image2 long, x2 long, y2 long, level2 long, turn2 long").distinct())
-    turn = F.pmod(F.col("turn2") - F.col("turn"), F.lit(TURNS))
-    step = F.col("level2") - F.col("level")
-    theta = turn * F.lit(2 * np.pi / TURNS)
-    scale = F.pow(F.lit(2.0), step)
-    tx = F.col("x2") - scale * (F.cos(theta) * F.col("x") - F.sin(theta) * F.col("y"))
-    ty = F.col("y2") - scale * (F.sin(theta) * F.col("x") + F.cos(theta) * F.col("y"))
-    grid = F.explode(F.array(F.lit(0.0), F.lit(bin_px / 2.0)))
-    binned = votes.select("image", "image2", "x", "y", "level", turn.alias("t"), step.alias("s"), tx.alias("tx"), ty.alias("ty"), grid.alias("g"))
-    binned = binned.select("image", "image2", "t", "s", "g", F.floor((F.col("tx") + F.col("g")) / bin_px).alias("bx"), F.floor((F.col("ty") + F.col("g")) / bin_px).alias("by"), F.struct("x", "y", "level").alias("corner"))
-    agreed = binned.groupBy("image", "image2", "t", "s", "g", "bx", "by").agg(F.count_distinct("corner").alias("n")).where(F.col("n") >= consensus)
-    links = materialize(agreed.select("image", "image2").distinct(), "links")
-    counts = links.select(F.explode(F.array("image", "image2")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    labels = connected_components(links, "image", "image2").withColumnRenamed("node", "rep")
-    out = made.join(reps, "digest").join(labels, "rep", "left").join(counts, "rep", "left")
-    return out.select("image", F.coalesce("component", "rep", "image").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.size("corners").cast("long").alias("n_corners"))
+    own = materialize(made.join(reps, "digest").where("image = rep").groupBy("digest").agg(F.min("rep").alias("image"), F.first("corners").alias("corners")).select("image", "corners"), "own")
+    by_key = W.partitionBy("key").orderBy("image")
+    shared = _keyed(own).select("*", F.lag("image").over(by_key).alias("before"), F.lead("image").over(by_key).alias("after"))
+    met = materialize(shared.where("before <> image or after <> image").drop("before", "after"), "met")
+    corner: Column = F.struct("image", "x", "y", "level", "turn")
+    least = met.groupBy("key").agg(F.min(corner).alias("p"))
+    tried = materialize(_agreeing(met.select("key", corner.alias("q")).join(least, "key").where("p.image <> q.image"), bin_px), "tried")
+    links = _verified(tried, own, most_bits, consensus, bin_px)
+    labels = connected_components(links)
+
+    known = met.join(labels.withColumnRenamed("node", "image"), "image", "left").select("key", corner.alias("q"), F.coalesce("component", "image").alias("of"))
+    open_ = known.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high and n > 2").select("key")
+    left = materialize(known.join(open_, "key"), "open")
+    others = left.select("key", F.col("q").alias("p"), F.col("of").alias("p_of"))
+    pairs = left.join(others, "key").where("p.image < q.image and p_of <> of")
+    again = materialize(_agreeing(pairs, bin_px).join(tried, ["a", "b"], "left_anti"), "tried")
+    second = _verified(again, own, most_bits, consensus, bin_px)
+    if second.limit(1).count():
+        labels = connected_components(links.unionByName(second))
+    out = made.join(reps, "digest").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    return out.select("image", F.coalesce("component", "rep", "image").alias("class_id"), F.call_function("div", F.octet_length("corners"), F.lit(CORNER.itemsize)).cast("long").alias("n_corners"))
 
 
 def render(vectors: DataFrame, side: int = 64) -> DataFrame:
