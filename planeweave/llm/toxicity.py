@@ -14,44 +14,12 @@ from planeweave.plans.storage import materialize
 
 #: A-Z to a-z; letters, digits and bytes from 0x80 stay; all else parts words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
-STEMS = (4, 5, 6)
-#: A term is a feature that a text holds this often at least: cosine alone forgets how often.
-LEVELS = (1, 2, 3)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_TABLE).split() if text else []
 
 
-def features_of(word: bytes) -> list[bytes]:
-    """The word, and its stems of 4 to 6 bytes, which end in ``*``."""
-    return [word, *(word[:n] + b"*" for n in STEMS if len(word) > n)]
-
-
-def levelled(counts: dict) -> Iterator[tuple]:
-    """(feature, level) for every level that a feature's count reaches."""
-    return ((f, n) for f, c in counts.items() for n in LEVELS if c >= n)
-
-
-class Terms(dict):
-    """word -> its known features; remembers words up to a bound. ids: (feature, level) -> term."""
-
-    def __init__(self, ids: dict[tuple[bytes, int], int], most: int = 200_000):
-        self.ids, self.most, self.features = ids, most, {f for f, _ in ids}
-
-    def __missing__(self, word: bytes) -> tuple[bytes, ...]:
-        found = tuple(f for f in features_of(word) if f in self.features)
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = found
-        return found
-
-    def vector(self, text: str | None) -> dict[int, int]:
-        """Term counts of the whole text."""
-        counts = Counter(f for fs in map(self.__getitem__, words_of(text)) if fs for f in fs)
-        return {self.ids[k]: counts[k[0]] for k in levelled(counts) if k in self.ids}
-
-
 def trains(doc_id: Column, parts: int = 5) -> Column:
     """Whether labels of this document may be learned from: crc32 of the id as text, modulo parts, is not 0."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(parts)) != 0
@@ -74,90 +42,143 @@ def sampled_labels(labels: DataFrame, most: int, parts: int = 5, seed: int = 42)
     return materialize(out, "sample")
 
 
-def telling_terms(docs: DataFrame, sample: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The terms most tied to label 1 in the sample, by the log-likelihood ratio of document counts.
+def examples(docs: DataFrame, sample: DataFrame) -> tuple[list, list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
+    """The sampled rows that have a document, in order of id; the words of their whole texts; each text's words and counts.
 
-    Only those over 2 ln(number of terms looked at), that is, hardly there by chance.
+    Of several texts of one id the least counts. All of it is bounded by the sample.
     """
+
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            n: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(pdf["text"], pdf["toxic"]):
-                counts: Counter = Counter()
-                for w, c in Counter(words_of(text)).items():
-                    for f in features_of(w):
-                        counts[f] += c
-                n[toxic].update(levelled(counts))
-            keys = list(n[0].keys() | n[1].keys())
-            yield pd.DataFrame({"term": [k[0] for k in keys], "level": [k[1] for k in keys], "clean": [n[0][k] for k in keys], "toxic": [n[1][k] for k in keys]})
-
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    counts = texts.mapInPandas(counted, "term binary, level int, clean long, toxic long").groupBy("term", "level").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where("t >= 2")
-    counts = materialize(counts, "counts")
-    kinds = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    nt, nc, looked = max(kinds.get(1, 0), 1), max(kinds.get(0, 0), 1), counts.count()
-    p = (F.col("t") + F.col("c")) / F.lit(float(nt + nc))
-    gain = 2 * (F.col("t") * F.log(F.col("t") / (nt * p)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (nc * p))).otherwise(0.0))
-    best = counts.where(F.col("t") / nt > 2 * F.col("c") / nc).withColumn("gain", gain).where(F.col("gain") >= 2 * np.log(max(looked, 2)))
-    return [(bytes(r.term), r.level) for r in best.orderBy(F.desc("gain"), "term", "level").limit(most).collect()]
-
-
-def vectors(docs: DataFrame, terms: list[tuple[bytes, int]]) -> DataFrame:
-    """(doc_id, terms, counts) of every row: the ids of the terms its whole text holds, and how often."""
+            said = [Counter(words_of(t)) for t in pdf["text"]]
+            yield pdf[["doc_id", "toxic", "weight"]].assign(words=[b" ".join(c) for c in said], counts=[np.fromiter(c.values(), np.int32, len(c)).tobytes() for c in said])
+
+    texts = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic", "weight").agg(F.min("text").alias("text"))
+    rows = texts.mapInPandas(counted, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, weight double, words binary, counts binary").collect()
+    rows.sort(key=lambda r: r.doc_id)
+    ids: dict[bytes, int] = {}
+    said = [(np.array([ids.setdefault(w, len(ids)) for w in bytes(r.words).split()], np.int64), np.frombuffer(r.counts, np.int32)) for r in rows]
+    return rows, list(ids), said
+
+
+def document_counts(docs: DataFrame, words: list[bytes]) -> tuple[np.ndarray, int]:
+    """In how many of all documents each word stands, and how many documents there are."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Terms({t: i for i, t in enumerate(terms)})
+        ids = {w: i for i, w in enumerate(sent.value)}
+        n, total = np.zeros(len(ids), np.int64), 0
         for pdf in batches:
-            said = [known.vector(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "terms": [sorted(v) for v in said], "counts": [[v[k] for k in sorted(v)] for v in said]})
+            total += len(pdf)
+            for text in pdf["text"]:
+                n[[ids[w] for w in ids.keys() & set(words_of(text))]] += 1
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"term": np.r_[-1, at], "n": np.r_[total, n[at]]})
 
-    rows = docs.select("doc_id", "text")
-    return rows.mapInPandas(counted, f"doc_id {dict(rows.dtypes)['doc_id']}, terms array<int>, counts array<int>")
+    sums = docs.select("text").mapInPandas(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    out, total = np.zeros(len(words)), 0
+    for r in sums.collect():
+        if r.term < 0:
+            total = r.n
+        else:
+            out[r.term] = r.n
+    return out, total
+
+
+def relevance(said: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, n_words: int) -> np.ndarray:
+    """1 + the log-likelihood ratio of each word's document counts under both labels: 1 for words that tell nothing."""
+    t, c = np.zeros(n_words), np.zeros(n_words)
+    for (words, _), label in zip(said, toxic):
+        (t if label else c)[words] += 1
+    nt, nc = max(1, int(toxic.sum())), max(1, int(len(toxic) - toxic.sum()))
+    p = np.clip((t + c) / (nt + nc), 1e-12, 1 - 1e-12)
+
+    def part(seen: np.ndarray, all_: int, share: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / (all_ * share)), 0.0)
+
+    return 1 + np.maximum(0, 2 * (part(t, nt, p) + part(c, nc, p) + part(nt - t, nt, 1 - p) + part(nc - c, nc, 1 - p)))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... up to sizes[0] of them, then the same of starts[1], and so on."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class BlockMaxIndex:
     """Unit TF-IDF vectors of examples as posting lists in blocks of examples, with the largest weight of each term and block.
 
-    search gives the exact k nearest by cosine: blocks are taken in order of their upper bound, the sum of a query's
-    weights times the block's largest ones, until no bound exceeds the kth best.
+    search gives the exact k nearest by cosine. A block's upper bound is the sum of a query's weights times the block's
+    largest ones; the blocks of the largest bounds are looked at first, then those whose bound reaches the kth best. Terms in
+    over one of ``common`` examples are held as rows of a matrix instead of lists: their part of all cosines is one product,
+    and its largest in each block joins the bound.
     """
 
-    def __init__(self, ids: list, toxic: np.ndarray, weight: np.ndarray, said: list[dict[int, int]], idf: np.ndarray, block: int = 64):
-        self.idf, self.block = idf, block
-        unit = [self.unit(v) for v in said]
+    def __init__(self, ids: list, toxic: np.ndarray, weight: np.ndarray, said: list[tuple[np.ndarray, np.ndarray]], scale: np.ndarray, block: int = 64, common: int = 8):
+        self.scale, self.block = scale, block
+        unit = [self.unit(*v) for v in said]
         order = sorted(range(len(ids)), key=lambda i: (-1 if not len(unit[i][0]) else int(unit[i][0][unit[i][1].argmax()]), ids[i]))
         self.ids, self.toxic, self.weight = [ids[i] for i in order], toxic[order], weight[order]
         self.unit_of = [unit[i] for i in order]
-        n, nb = len(ids), -(-len(ids) // block)
-        rows = [(int(t), e, w) for e, (ts, ws) in enumerate(self.unit_of) for t, w in zip(ts, ws)]
-        rows.sort()
-        term, self.doc, self.val = (np.array([r[k] for r in rows], kind) for k, kind in ((0, np.int64), (1, np.int64), (2, np.float64)))
-        self.ptr = np.searchsorted(term * (nb + 1) + self.doc // block, (np.arange(len(idf))[:, None] * (nb + 1) + np.arange(nb + 1)[None, :]).ravel()).reshape(len(idf), nb + 1)
-        self.top = np.zeros((len(idf), nb))
-        np.maximum.at(self.top, (term, self.doc // block), self.val)
-        self.n = n
-
-    def unit(self, said: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(said), np.int64)
-        w = (1 + np.log(np.array([said[k] for k in t], float))) * self.idf[t] if len(t) else np.empty(0)
-        return t, w / np.sqrt((w * w).sum()) if len(t) else w
-
-    def search(self, terms: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest with a cosine over 0, ties to the smaller example; ``but`` is left out."""
-        if not len(terms) or not self.n:
-            return []
-        bound = w @ self.top[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
-                break
-            sums = np.zeros(self.block)
-            for t, x in zip(terms, w):
-                i, j = self.ptr[t, b], self.ptr[t, b + 1]
-                if j > i:
-                    sums[self.doc[i:j] - b * self.block] += x * self.val[i:j]
-            best += [(-float(sums[e]), int(e + b * self.block)) for e in np.flatnonzero(sums > 0) if e + b * self.block != but]
-            best = sorted(best)[:k]
-        return [(-s, e) for s, e in best]
+        self.n, self.blocks = len(ids), -(-len(ids) // block)
+        term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in self.unit_of)])
+        doc = np.repeat(np.arange(self.n), [len(t) for t, _ in self.unit_of])
+        val = np.concatenate([np.empty(0), *(w for _, w in self.unit_of)])
+        often = np.bincount(term, minlength=len(scale)) * common > self.n
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.matrix = np.zeros((int(often.sum()), self.blocks * block))
+        at = often[term]
+        self.matrix[self.row[term[at]], doc[at]] = val[at]
+        term, doc, val = term[~at], doc[~at], val[~at]
+        by = np.lexsort((doc, term))
+        term, self.doc, self.val = term[by], doc[by], val[by]
+        key = term * (self.blocks + 1) + self.doc // block
+        self.start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        self.size = np.diff(np.r_[self.start, len(key)])
+        self.of_block = self.doc[self.start] // block
+        self.top = np.maximum.reduceat(self.val, self.start) if len(key) else np.empty(0)
+        self.entry = np.searchsorted(term[self.start], np.arange(len(scale) + 1))
+
+    def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.scale[terms]
+        return terms, w / np.sqrt((w * w).sum()) if len(terms) else w
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, but: np.ndarray | None = None, first: int = 8) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(cosines, examples) of the k nearest with a cosine over 0 of each unit vector, ties to the smaller example; ``but`` names
+        an example for each query that is left out."""
+        known = np.zeros((len(queries), len(self.matrix)))
+        for q, (t, w) in enumerate(queries):
+            at = self.row[t] >= 0
+            known[q, self.row[t[at]]] = w[at]
+        known = known @ self.matrix
+        out = []
+        for q, (t, w) in enumerate(queries):
+            if not self.n or not len(t):
+                out.append((np.empty(0), np.empty(0, np.int64)))
+                continue
+            sizes = self.entry[t + 1] - self.entry[t]
+            e, x = _ranges(self.entry[t], sizes), np.repeat(w, sizes)
+            bound = known[q].reshape(self.blocks, self.block).max(1) + np.bincount(self.of_block[e], x * self.top[e], self.blocks)
+            by = np.argsort(-bound, kind="stable")
+            sums, looked, reach = known[q].copy(), np.zeros(self.blocks, bool), 1e-15
+            for part in (by[:first], by[first:]):
+                part = part[bound[part] >= reach - 1e-12]
+                if not len(part):
+                    break
+                here = np.zeros(self.blocks, bool)
+                here[part] = True
+                looked |= here
+                at = here[self.of_block[e]]
+                post = _ranges(self.start[e[at]], self.size[e[at]])
+                sums += np.bincount(self.doc[post], np.repeat(x[at], self.size[e[at]]) * self.val[post], len(sums))
+                mine = np.where(np.repeat(looked, self.block), sums, 0)
+                if but is not None:
+                    mine[but[q]] = 0
+                reach = max(reach, float(np.partition(mine, -k)[-k])) if len(mine) >= k else reach
+            found = np.flatnonzero(mine >= reach)
+            found = found[np.lexsort((found, -mine[found]))][:k]
+            out.append((mine[found], found))
+        return out
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,78 +196,75 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Model:
-    """Index, calibration, and the score of a text."""
+    """Words, index, calibration, and the scores of texts."""
 
-    def __init__(self, terms: list[tuple[bytes, int]], index: BlockMaxIndex, k: int = 16):
-        self.terms, self.index, self.k = {t: i for i, t in enumerate(terms)}, index, k
+    def __init__(self, words: list[bytes], index: BlockMaxIndex, k: int = 16):
+        self.words, self.index, self.k, self.known = words, index, k, None
         empty = np.array([not len(t) for t, _ in index.unit_of], bool)
         y, w = index.toxic.astype(float), index.weight
-        all_, none = (float(((y * w)[m].sum() + 0.5 * r) / (w[m].sum() + r)) if len(y) else 0.0 for m, r in ((np.ones(len(y), bool), 0.1), (empty, 0.1)))
-        self.prior, self.empty = all_, min(none, 0.499)
+        self.prior = float(((y * w).sum() + 0.05) / (w.sum() + 0.1)) if len(y) else 0.0
+        self.empty = float(((y * w)[empty].sum() + self.prior) / (w[empty].sum() + 1))
         held = np.flatnonzero(~empty)
-        votes = np.array([self.vote(index.search(*index.unit_of[e], k, int(e))) for e in held])
+        votes = np.array([self.vote(*near) for a in range(0, len(held), 256) for near in index.search([index.unit_of[e] for e in held[a : a + 256]], k, held[a : a + 256])])
         # two mild witnesses keep the ends of the scale off 0 and 1
-        x = np.r_[votes, 0.0, 1.0]
-        self.x, self.y = isotonic(x, np.r_[y[held], 0.0, 1.0], np.r_[w[held], 1.0, 1.0])
-        self.known = None
+        self.x, self.y = isotonic(np.r_[votes, 0.0, 1.0], np.r_[y[held], 0.0, 1.0], np.r_[w[held], 1.0, 1.0])
 
-    def vote(self, near: list[tuple[float, int]]) -> float:
+    def vote(self, cosine: np.ndarray, near: np.ndarray) -> float:
         """Weighted share of label 1 among the neighbours, nearer ones counting more, drawn a little to the prior."""
-        v = [(s / (1.1 - s) * self.index.weight[e], self.index.toxic[e]) for s, e in near]
-        return (sum(a * b for a, b in v) + 0.2 * self.prior) / (sum(a for a, _ in v) + 0.2)
+        v = cosine / (1.1 - cosine) * self.index.weight[near]
+        return float(((v * self.index.toxic[near]).sum() + 0.2 * self.prior) / (v.sum() + 0.2))
 
-    def score(self, said: dict[int, int]) -> tuple[float, list]:
-        """The calibrated score, and the ids of the three nearest examples."""
-        near = self.index.search(*self.index.unit(said), self.k)
-        if not near:
-            return self.empty, []
-        return float(np.clip(np.interp(self.vote(near), self.x, self.y), 0.0, 1.0)), [self.index.ids[e] for _, e in near[:3]]
-
-    def score_text(self, text: str | None) -> tuple[float, list]:
+    def score(self, texts) -> Iterator[tuple[float, list]]:
+        """The calibrated score of each text, and the ids of its three nearest examples."""
         if self.known is None:
-            self.known = Terms(self.terms)
-        return self.score(self.known.vector(text))
-
-
-def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 6000, most_terms: int = 4096, parts: int = 5, k: int = 16) -> tuple[Model, DataFrame]:
-    """The model, and the term vectors of all documents.
-
-    Examples are at most most_examples training rows of each class (a documented bound; see sampled_labels). Terms are
-    those of the sample that tell label 1 (see telling_terms). Document frequencies are counted over all documents.
-    """
+            self.known = {w: i for i, w in enumerate(self.words)}
+        texts, ids = list(texts), self.known
+        for a in range(0, len(texts), 256):
+            said = []
+            for text in texts[a : a + 256]:
+                c = Counter(words_of(text))
+                held = [w for w in c if w in ids]
+                said.append(self.index.unit(np.array([ids[w] for w in held], np.int64), np.array([c[w] for w in held], float)))
+            for cosine, near in self.index.search(said, self.k):
+                if not len(near):
+                    yield self.empty, []
+                else:
+                    yield float(np.clip(np.interp(self.vote(cosine, near), self.x, self.y), 0.0, 1.0)), [self.index.ids[e] for e in near[:3]]
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 4000, parts: int = 5, k: int = 16) -> Model:
+    """Examples are at most most_examples training rows of each class (a documented bound; see sampled_labels). Terms are all
+    words of their texts, with document frequencies counted over all documents."""
     sample = sampled_labels(labels, most_examples, parts)
-    docs = docs.select(F.col("doc_id"), F.col("text"))
-    terms = telling_terms(docs, sample, most_terms)
-    said = materialize(vectors(docs, terms), "vectors")
-    seen = {r.term: r.n for r in said.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = said.count()
-    idf = np.log((1 + total) / (1 + np.array([seen.get(i, 0) for i in range(len(terms))], float))) + 1
-    rows = said.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "weight", "terms", "counts").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    index = BlockMaxIndex([r.doc_id for r in rows], np.array([r.toxic for r in rows], np.int64), np.array([r.weight for r in rows], float), [dict(zip(r.terms, r.counts)) for r in rows], idf)
-    return Model(terms, index, k), said
+    docs = docs.select("doc_id", "text")
+    rows, words, said = examples(docs, sample)
+    seen, total = document_counts(docs, words)
+    toxic = np.array([r.toxic for r in rows], np.int64)
+    scale = (np.log((1 + total) / (1 + seen)) + 1) * relevance(said, toxic, len(words))
+    index = BlockMaxIndex([r.doc_id for r in rows], toxic, np.array([r.weight for r in rows], float), said, scale)
+    return Model(words, index, k)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence for every row of docs, from its whole text alone.
 
-    A text's terms that tell label 1 are weighted by (1 + ln count) * idf; the k nearest examples by exact cosine vote, and
+    All words of a text that any example holds are weighted by (1 + ln count) * idf * relevance, idf over all documents and
+    relevance 1 for a word that tells nothing of the label (see relevance); the k nearest examples by exact cosine vote, and
     the share of label 1 is calibrated by a rising step function fitted to votes that leave the example itself out. A text
-    without such terms (null and empty ones too) has the share of label 1 among examples without. predicted is 1 from
-    0.5; evidence lists the ids of the three nearest examples. Rows that repeat are scored each; labels without a
-    document, or no labels at all, do no harm (score 0); an empty table gives no rows.
+    without a known word (null and empty ones too) has the share of label 1 among such examples, drawn to the share among
+    all. predicted is 1 from 0.5; evidence lists the ids of the three nearest examples. Rows that repeat are scored each;
+    labels without a document, or no labels at all, do no harm (score 0); an empty table gives no rows.
     """
-    model, said = fit(docs, labels, **how)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kind = dict(said.dtypes)["doc_id"]
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
+    rows = docs.select("doc_id", "text")
+    kind = dict(rows.dtypes)["doc_id"]
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
         for pdf in batches:
-            found = [m.score(dict(zip(t, c))) for t, c in zip(pdf["terms"], pdf["counts"])]
+            found = list(sent.value.score(pdf["text"]))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": [s for s, _ in found], "evidence": [e for _, e in found]})
 
-    out = said.mapInPandas(scored, f"doc_id {kind}, score double, evidence array<{kind}>")
+    out = rows.mapInPandas(scored, f"doc_id {kind}, score double, evidence array<{kind}>")
     return out.select("doc_id", (~trains(F.col("doc_id"), how.get("parts", 5))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
@@ -257,11 +275,10 @@ def op8_blockmax_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose score is under 0.5."""
-    model, _ = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.score_text(t)[0] for t in text], dtype=float)
+        return pd.Series([s for s, _ in sent.value.score(text)], dtype=float)
 
     return docs.where(score("text") < 0.5)
