@@ -100,52 +100,50 @@ def cluster(pairs: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
 class LanguageModel:
     """P(token | before) = P(class | features of the last three tokens) * P(token | class).
 
-    The most frequent tokens are known one by one, each of the top ones a class of its own; other tokens are of the class
-    of their ending, apart for known and rare ones. P(token | class) is the count share; in classes of rare tokens, one
-    more than the count, one of the class's slots being any token never seen. Features: the last token, the one before,
-    the one before that (skips), and the last two together; each is hashed to a row of weights over classes.
+    The ``singles`` most frequent tokens are classes of their own; all others, seen or not, are of the class of their ending.
+    P(token | class) is ``(c + 1) / (S + V + 1)`` with the class's running and distinct training tokens, so each class keeps
+    one share for tokens never seen. Features: the last token, the one before, the one before that (skips), and the last two
+    together; each token is hashed straight to a row of weights over classes. tokens and counts are those that a task holds
+    in memory, for speed: of all others the count comes from a join, and nothing else depends on which they are.
     """
 
-    def __init__(self, tokens: list[bytes], counts: np.ndarray, rare: np.ndarray, classes_of: np.ndarray, singles: int, rows: int):
+    def __init__(self, tokens: list[bytes], counts: np.ndarray, singles: dict[bytes, float], sizes: np.ndarray, classes_of: np.ndarray, rows: int):
         k = int(classes_of.max()) + 1
-        self.m, self.rows, self.n_classes = len(tokens), rows, singles + 2 * k
+        self.m, self.rows, self.n_classes, self.singles, self.classes_of = len(tokens), rows, len(singles) + k, {t: i for i, t in enumerate(singles)}, classes_of
         self.ids = {t: i for i, t in enumerate(tokens)}
-        bucket = np.array([ending(t) for t in tokens], np.int64) if tokens else np.empty(0, np.int64)
-        own = np.where(np.arange(self.m) < singles, np.arange(self.m), singles + classes_of[bucket])
-        self.cls = np.concatenate([own, singles + k + classes_of, [0]]).astype(np.int64)
-        size = np.bincount(own, counts, self.n_classes)
-        rare_size = np.bincount(singles + k + classes_of, rare.sum(1), self.n_classes)
-        inside = np.concatenate([np.log10(counts / size[own]) if self.m else [], -np.log10(rare_size[self.cls[self.m : -1]] + 1), [0]])
-        self.inside = inside
-        self.base = np.concatenate([np.log10(counts + 1.0), np.zeros(BUCKETS + 1)])
-        self.known = np.concatenate([np.ones(self.m), np.zeros(BUCKETS + 1)])
-        hashed = np.array([zlib.crc32(t) for t in tokens], np.int64) if tokens else np.empty(0, np.int64)
-        half = rows // 2
-        self.row = np.concatenate([hashed % half, half + np.arange(BUCKETS) % (rows - half - 1), [rows - 1]]).astype(np.int64)
-        total = size + np.bincount(singles + k + classes_of, rare[:, 0], self.n_classes) + 0.5
+        mass = np.array([np.bincount(classes_of, sizes[:, c], k) for c in (0, 1)])
+        self.share = np.concatenate([np.zeros(len(singles)), -np.log10(mass.sum(0) + 1)])
+        self.cls = np.array([self.class_of(t) for t in tokens] + [0], np.int64)
+        self.row = np.array([zlib.crc32(t) % (rows - 1) for t in tokens] + [rows - 1], np.int64)
+        self.base = np.r_[np.log10(counts + 1.0), 0.0]
+        self.own = np.r_[np.where(self.cls[:-1] < len(singles), 0.0, self.base[:-1]), 0.0]
+        total = np.concatenate([np.array([*singles.values()], float), mass[0]]) + 0.5
         self.bias = np.log(total / total.sum()).astype(np.float32)
         self.weights = np.zeros((4, rows, self.n_classes), np.float32)
 
-    def encode(self, texts) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Ids of all texts with EDGE places before each, where each text begins, and its rare tokens."""
-        edge, m, get = [self.m + BUCKETS] * EDGE, self.m, self.ids.get
-        parts, starts, rare, at = [], [], [], 0
+    def class_of(self, token: bytes) -> int:
+        return self.singles.get(token, len(self.singles) + int(self.classes_of[ending(token)]))
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+        """Of all tokens, with EDGE places before each text: id (-1: not held; m: such a place), row, class; where each text begins, and
+        its tokens that are not held."""
+        get, parts, starts, rare, at = self.ids.get, [np.empty(0, np.int64)], [], [], 0
         for text in texts:
             words = split_words(text)
-            ids = [*edge, *(get(w, -1) for w in words)]
-            x = np.array(ids, np.int64)
-            unknown = np.flatnonzero(x < 0)
-            odd = [words[i - EDGE] for i in unknown]
-            x[unknown] = [m + ending(w) for w in odd]
+            x = np.array([*[self.m] * EDGE, *(get(w, -1) for w in words)], np.int64)
             parts.append(x)
             starts.append(at)
-            rare.append(odd)
+            rare.append([words[i - EDGE] for i in np.flatnonzero(x < 0)])
             at += len(x)
-        return np.concatenate(parts) if parts else np.empty(0, np.int64), np.array(starts, np.int64), rare
-
-    def features(self, seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        r = self.row[seq]
-        a, b, c = r[at - 1], r[at - 2], r[at - 3]
+        ids = np.concatenate(parts)
+        row, cls = self.row[ids], self.cls[ids]
+        odd = [w for r in rare for w in r]
+        row[ids < 0] = [zlib.crc32(w) % (self.rows - 1) for w in odd]
+        cls[ids < 0] = [self.class_of(w) for w in odd]
+        return ids, row, cls, np.array(starts, np.int64), rare
+
+    def features(self, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        a, b, c = row[at - 1], row[at - 2], row[at - 3]
         return a, b, c, (a * 1_000_003 + b * 8_191) % self.rows
 
     def odds(self, f: tuple[np.ndarray, ...], weights: np.ndarray) -> np.ndarray:
@@ -155,21 +153,20 @@ class LanguageModel:
         z += self.bias
         return np.exp(z, out=z)
 
-    def class_scores(self, seq: np.ndarray, at: np.ndarray, weights: np.ndarray, chunk: int = 8192) -> np.ndarray:
+    def class_scores(self, row: np.ndarray, cls: np.ndarray, at: np.ndarray, weights: np.ndarray, chunk: int = 8192) -> np.ndarray:
         """log10 P(class | before) at the given places."""
         out = np.empty(len(at))
         for i in range(0, len(at), chunk):
             p = at[i : i + chunk]
-            e = self.odds(self.features(seq, p), weights)
-            out[i : i + chunk] = np.log10(e[np.arange(len(p)), self.cls[seq[p]]] / e.sum(1))
+            e = self.odds(self.features(row, p), weights)
+            out[i : i + chunk] = np.log10(e[np.arange(len(p)), cls[p]] / e.sum(1))
         return out
 
-    def expectations(self, seq: np.ndarray, at: np.ndarray, weights: np.ndarray, seen: np.ndarray, expected: np.ndarray, chunk: int = 16384) -> None:
+    def expectations(self, row: np.ndarray, cls: np.ndarray, at: np.ndarray, weights: np.ndarray, seen: np.ndarray, expected: np.ndarray, chunk: int = 16384) -> None:
         """Adds how often each feature came with each class, and how often the model expects it."""
-        k = self.n_classes
         for i in range(0, len(at), chunk):
             p = at[i : i + chunk]
-            f, c = self.features(seq, p), self.cls[seq[p]]
+            f, c = self.features(row, p), cls[p]
             e = self.odds(f, weights)
             e /= e.sum(1, keepdims=True)
             for t in range(4):
@@ -177,7 +174,8 @@ class LanguageModel:
                 rows = f[t][order]
                 first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
                 expected[t][rows[first]] += np.add.reduceat(e[order], first, axis=0)
-                seen[t] += np.bincount(f[t] * k + c, minlength=self.rows * k).reshape(self.rows, k)
+                pair, n = np.unique(f[t] * self.n_classes + c, return_counts=True)
+                seen[t].reshape(-1)[pair] += n
 
 
 def _in_blocks(batches: Iterator[pd.DataFrame], tokens: int = 200_000) -> Iterator[pd.DataFrame]:
@@ -198,8 +196,8 @@ def gradient(training: DataFrame, model: LanguageModel, weights: np.ndarray) ->
         m, w = sent.value
         seen, expected = np.zeros(w.shape, np.float32), np.zeros(w.shape, np.float32)
         for pdf in _in_blocks(batches):
-            seq, _, _ = m.encode(pdf["text"])
-            m.expectations(seq, np.flatnonzero(seq != m.m + BUCKETS), w, seen, expected)
+            ids, row, cls, _, _ = m.encode(pdf["text"])
+            m.expectations(row, cls, np.flatnonzero(ids != m.m), w, seen, expected)
         both = np.concatenate([seen, expected], 2).reshape(-1, 2 * k)
         for i in range(0, len(both), BLOCK):
             used = np.flatnonzero(both[i : i + BLOCK].any(1))
@@ -221,40 +219,45 @@ def gradient(training: DataFrame, model: LanguageModel, weights: np.ndarray) ->
     return both[:, :, :k], both[:, :, k:]
 
 
-def train(docs: DataFrame, singles: int = 32, k: int = 16, most_known: int = 150_000, rows: int = 2048, updates: int = 4) -> tuple[LanguageModel, DataFrame, dict]:
-    """The model, the counts of all training tokens (token, bucket, c), and N and V.
+def train(docs: DataFrame, singles: int = 32, k: int = 32, held: int = 150_000, least_rows: int = 2048, updates: int = 4) -> tuple[LanguageModel, DataFrame, dict]:
+    """The model, the counts (token, c) of training tokens that it doesn't hold, and N and V.
 
     docs has doc_id, text, held_out. Counts, classes and P(token | class) come from every training text. Weights get
     ``updates`` gradient steps in the log domain (iterative scaling), each from the sums over its own one of
-    ``updates`` parts of the training documents, chosen by a hash of doc_id, so that every one is in a step. The model holds at most
-    most_known tokens one by one (a bound of its memory), and none that was seen less than three times: rare tokens show how
-    often and where unseen ones come. All others are counted and looked up by join.
+    ``updates`` parts of the training documents, chosen by a hash of doc_id, so that every one is in a step. There are as many rows
+    of weights for each kind of feature as the next power of two after N ** 0.4, least_rows at least: 2,048 at 0.5 GB, about
+    260,000 (0.3 GB of weights) at 100 TB. ``held`` tokens at most, the most frequent, are held by each task to spare it the
+    join; results are the same for any number.
     """
     training = docs.where(~F.col("held_out"))
     counts, pairs = count_tokens(training)
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     steps = counts.withColumn("step", F.floor(4 * F.log2("c")).cast("int"))
-    least, held = None, 0
+    least, n = None, 0
     for r in sorted(steps.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.step):
-        held += r.n
-        if held > most_known or r.step < 6:
+        n += r.n
+        if n > held:
             break
         least = r.step
     least = 1 << 20 if least is None else least
     known = sorted(steps.where(F.col("step") >= least).select("token", "c").collect(), key=lambda r: (-r.c, bytes(r.token)))
-    rare = np.zeros((BUCKETS, 2))
-    for r in steps.where(F.col("step") < least).groupBy("bucket").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-        rare[r.bucket] = r.n, r.v
+    top = {bytes(r.token): float(r.c) for r in counts.orderBy(F.desc("c"), "token").limit(singles).collect()}
+    sizes = np.zeros((BUCKETS, 2))
+    for r in counts.groupBy("bucket").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        sizes[r.bucket] = r.n, r.v
+    for t, c in top.items():
+        sizes[ending(t)] -= c, 1
     near = np.zeros(BUCKETS * BUCKETS)
     for r in pairs.collect():
         near[r.code] = r.n
-    model = LanguageModel([bytes(r.token) for r in known], np.array([r.c for r in known], float), rare, cluster(near.reshape(BUCKETS, BUCKETS), k), singles, rows)
+    rows = max(least_rows, 1 << int(np.ceil(0.4 * np.log2(max(1, total)))))
+    model = LanguageModel([bytes(r.token) for r in known], np.array([r.c for r in known], float), top, sizes, cluster(near.reshape(BUCKETS, BUCKETS), k), rows)
     prior = np.exp(model.bias.astype(float))
     for u in range(updates):
         mine = training.where(F.pmod(F.xxhash64(F.lit(11), F.col("doc_id").cast("string")), F.lit(updates)) == u)
         seen, expected = gradient(mine, model, model.weights)
         model.weights = np.clip(model.weights + (0.4 * np.log((seen + 4 * prior) / (expected + 4 * prior))).astype(np.float32), -8, 8).astype(np.float32)
-    return model, counts.join(F.broadcast(docs.sparkSession.createDataFrame([(least,)], "least int")), F.floor(4 * F.log2("c")) < F.col("least")).select("token", "c"), {"N": int(total), "V": int(types)}
+    return model, steps.where(F.col("step") < least).select("token", "c"), {"N": int(total), "V": int(types)}
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, part: int = 2, **how) -> DataFrame:
@@ -263,7 +266,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base_score adds log10((c + 1) / (N + V + 1)) over the tokens; score is the model's log10 probability of the text, its
     end included. Training rows are those whose crc32 of doc_id as text, modulo parts, is not part. Null and empty texts
     are an end alone; rows that repeat count and score each; with no training rows N and V are 0 and all tokens are
-    unknown; an empty table gives no rows. Rare tokens, which the model does not hold, meet their counts in a join.
+    unknown; an empty table gives no rows. Tokens that the model does not hold meet their counts in a join.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col), parts, part).alias("held_out"))
     model, rare_counts, sizes = train(rows, **how)
@@ -273,26 +276,29 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
         for pdf in _in_blocks(batches):
-            seq, starts, rare = m.encode(pdf["text"])
-            at = np.flatnonzero(seq != m.m + BUCKETS)
-            each = np.zeros(len(seq))
-            each[at] = m.class_scores(seq, at, m.weights) + m.inside[seq[at]]
-            n = np.diff(np.r_[starts, len(seq)]) - EDGE
+            ids, row, cls, starts, rare = m.encode(pdf["text"])
+            at = np.flatnonzero(ids != m.m)
+            each = np.zeros(len(ids))
+            each[at] = m.class_scores(row, cls, at, m.weights) + m.share[cls[at]] + np.where(ids[at] < 0, 0, m.own[ids[at]])
+            inside = (ids >= 0) & (ids < m.m)
+            n = np.diff(np.r_[starts, len(ids)]) - EDGE
             yield pd.DataFrame({
                 "row_id": pdf["row_id"].to_numpy(), "doc_id": pdf["doc_id"].to_numpy(), "held_out": pdf["held_out"].to_numpy(), "n_tokens": n,
-                "n_known": np.add.reduceat(m.known[seq], starts).astype(np.int64), "base": np.add.reduceat(m.base[seq], starts), "lm": np.add.reduceat(each, starts), "rare": rare,
+                "n_known": np.add.reduceat(inside.astype(np.int64), starts), "base": np.add.reduceat(np.where(inside, m.base[ids], 0), starts), "lm": np.add.reduceat(each, starts), "rare": rare,
+                "alone": [[w in m.singles for w in r] for r in rare],
             })
 
     kind = dict(rows.dtypes)["doc_id"]
-    schema = f"row_id long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, lm double, rare array<binary>"
+    schema = f"row_id long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, lm double, rare array<binary>, alone array<boolean>"
     first = materialize(rows.withColumn("row_id", F.monotonically_increasing_id()).mapInPandas(scored, schema), "scored")
-    looked = first.select("row_id", F.explode("rare").alias("token")).join(rare_counts, "token", "left")
-    more = looked.groupBy("row_id").agg(F.count("c").alias("more_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("more"))
-    out = first.drop("rare").join(more, "row_id", "left")
-    extra = F.coalesce("more", F.lit(0.0))
+    looked = first.select("row_id", F.explode(F.arrays_zip("rare", "alone")).alias("t")).select("row_id", F.col("t.rare").alias("token"), F.col("t.alone").alias("alone"))
+    looked = looked.join(rare_counts, "token", "left").withColumn("own", F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)))
+    more = looked.groupBy("row_id").agg(F.count("c").alias("more_known"), F.sum("own").alias("more"), F.sum(F.when(~F.col("alone"), F.col("own"))).alias("more_lm"))
+    out = first.drop("rare", "alone").join(more, "row_id", "left")
+    extra, extra_lm = F.coalesce("more", F.lit(0.0)), F.coalesce("more_lm", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(sizes["N"]).cast("long").alias("train_tokens"),
-        (F.col("base") + extra - F.col("n_tokens") * F.lit(float(np.log10(sizes["N"] + sizes["V"] + 1)))).alias("base_score"), (F.col("lm") + extra).alias("score"),
+        (F.col("base") + extra - F.col("n_tokens") * F.lit(float(np.log10(sizes["N"] + sizes["V"] + 1)))).alias("base_score"), (F.col("lm") + extra_lm).alias("score"),
     )
 
 

@@ -202,17 +202,29 @@ def test_language_model(spark, odd):
 
 
 def test_probabilities_add_up():
-    tokens, counts, rare = [b"a", b"b", b"", b"cab"], np.array([5.0, 4, 3, 2]), np.zeros((lm.BUCKETS, 2))
-    rare[lm.ending(b"zzz")] = 3, 2
-    m = lm.LanguageModel(tokens, counts, rare, np.arange(lm.BUCKETS) % 3, 2, 64)
+    """Over all training tokens and one unseen token for each class of endings, after any tokens."""
+    tokens, counts = [b"a", b"b", b"", b"cab", b"zzz", b"xyz"], np.array([5.0, 4, 3, 2, 2, 1])
+    sizes = np.zeros((lm.BUCKETS, 2))
+    for t, c in zip(tokens[2:], counts[2:]):
+        sizes[lm.ending(t)] += c, 1
+    m = lm.LanguageModel(tokens[:4], counts[:4], {b"a": 5.0, b"b": 4.0}, sizes, np.arange(lm.BUCKETS) % 3, 64)
     m.weights += np.random.default_rng(0).normal(0, 1, m.weights.shape).astype(np.float32)
-    seq = np.array([m.m + lm.BUCKETS] * 3 + [0])
-    e = m.odds(m.features(seq, np.array([3])), m.weights)[0]
-    p = e / e.sum()
-    known = sum(p[m.cls[i]] * 10 ** m.inside[i] for i in range(m.m))
-    classes = {int(m.cls[m.m + b]): rare[np.flatnonzero(m.cls[m.m : m.m + lm.BUCKETS] == m.cls[m.m + b])] for b in range(lm.BUCKETS)}
-    unseen = sum(p[k] * (r[:, 0].sum() + r[:, 1].sum() + 1) / (r[:, 0].sum() + 1) for k, r in classes.items())
-    assert known <= 1 + 1e-6 and unseen > 0
+    for before in (b"", b"a unknown zzz b", b"b b b"):
+        total = 0.0
+        for t, c in [*zip(tokens, counts), *((None, k) for k in range(3))]:
+            ids, row, cls, _, _ = m.encode([before.decode()])
+            at = np.array([len(ids) - 1])
+            cls[at] = m.class_of(t) if t is not None else 2 + c
+            own = 0 if t is None or t in m.singles else math.log10(c + 1)
+            total += 10 ** (m.class_scores(row, cls, at, m.weights)[0] + m.share[cls[at]][0] + own)
+        assert math.isclose(total, 1, rel_tol=1e-5)
+
+
+@pytest.mark.parametrize("held", [0, 40])
+def test_scores_do_not_depend_on_what_is_held(spark, held):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).persist()
+    want, got = ({r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in lm.score_texts(docs, updates=1, **how).collect()} for how in ({}, {"held": held}))
+    assert got == want
 
 
 def test_edited_copies(spark):
