@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +34,8 @@ def _either(field: str) -> str:
 LAYOUTS = {
     "messages": (("messages[].role", "messages[].content"), _listed("r.messages", "role", "content")),
     "messages_text": (("messages[].role", "messages[].text"), _listed("r.messages", "role", "text")),
+    "messages_speaker": (("messages[].speaker", "messages[].content"), _listed("r.messages", "speaker", "content")),
+    "messages_from": (("messages[].from", "messages[].value"), _listed("r.messages", "`from`", "value")),
     "conversations": (("conversations[].from", "conversations[].value"), _listed("r.conversations", "`from`", "value")),
     "system_messages": (("system", "messages[].role", "messages[].content"), f"concat({_said(('system', 'r.system'))}, {_listed('r.messages', 'role', 'content')})"),
     "messages_mixed": (("messages[].role", "messages[].content", "messages[].text"), _either("r.messages")),
@@ -47,11 +47,13 @@ LAYOUTS = {
     "instruction_input_output": (("instruction", "input", "output"), _said(("user", "concat_ws('\\n\\n', r.instruction, nullif(r.input, ''))"), ("assistant", "r.output"))),
 }
 _RECORD = (
-    "struct<messages:array<struct<role:string,content:string,text:string>>,conversations:array<struct<`from`:string,value:string>>,"
+    "struct<messages:array<struct<role:string,content:string,text:string,speaker:string,`from`:string,value:string>>,conversations:array<struct<`from`:string,value:string>>,"
     "system:string,prompt:string,completion:string,response:string,question:string,answer:string,instruction:string,input:string,output:string>"
 )
-#: Tables of one turn a row: their columns, and which of them is the conversation, the order, the role and the text.
-TURN_TABLES = (("conv_id", "turn", "role", "text"), ("conversation_id", "turn_id", "speaker", "content"), ("dialog_id", "position", "from", "value"))
+#: Names that tables of one turn a row have for the conversation and for the order of its turns.
+CONVERSATION, ORDER = ("conv_id", "conversation_id", "dialog_id"), ("turn", "turn_id", "position")
+#: Their other columns that a layout reads: who speaks, and what.
+SPEAKER, SAID = ("role", "speaker", "from"), ("text", "content", "value")
 
 
 def fingerprint(paths: Column) -> Column:
@@ -59,11 +61,6 @@ def fingerprint(paths: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.array_distinct(F.transform(paths, F.lower))), "\n"), 256)
 
 
-def name_print(names) -> str:
-    """fingerprint() of the names of columns."""
-    return hashlib.sha256("\n".join(sorted({n.lower() for n in names})).encode()).hexdigest()
-
-
 def json_paths(record: Column) -> Column:
     """Leaf paths of a JSON object as the layouts have them: its keys, and the keys of all the objects in its lists.
 
@@ -79,29 +76,55 @@ def json_paths(record: Column) -> Column:
     return F.flatten(F.transform(F.json_object_keys(record), paths))
 
 
-def canonical_turns(records: DataFrame, record_col: str = "record", ignore=("id", "meta", "source", "lang"), ignore_listed=("name",)) -> DataFrame:
-    """The input's columns, and layout (string) and turns (array of role, text), for JSON records of mixed layouts.
-
-    The nested field paths of each record, those in ``ignore`` and keys of listed objects in either aside, are hashed, and the hash selects the declarative
-    mapping (LAYOUTS) that makes the turns; the order of fields is of no matter. Null, broken and empty records and
-    unknown layouts have a null layout and null turns. In lists, null elements are no turns, null texts and roles are ''. Role names are lower-cased
-    and read by ROLES. Input columns named layout or turns are replaced; rows that repeat stay.
+def struct_paths(record: Column, kind: T.StructType) -> Column:
+    """Leaf paths of a struct column, named as json_paths() names them: its fields that are not null, and the fields of the
+    structs in its lists. Null where the record is null."""
+    parts = []
+    for f in kind.fields:
+        listed = isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)
+        names = [f"{f.name}[].{g.name}" for g in f.dataType.elementType.fields] if listed else [f.name]
+        parts.append(F.when(record[f.name].isNotNull(), F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>")))
+    return F.when(record.isNotNull(), F.flatten(F.array(*parts)) if parts else F.array().cast("array<string>"))
+
+
+def _shaped(value: Column, have: T.DataType, want: T.DataType) -> Column:
+    """The value with the fields of the wanted type, null where it has none."""
+    if isinstance(want, T.StructType) and isinstance(have, T.StructType):
+        named = {f.name.lower(): f for f in have.fields}
+        fields = [(_shaped(value[named[w.name].name], named[w.name].dataType, w.dataType) if w.name in named else F.lit(None).cast(w.dataType)).alias(w.name) for w in want.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(want, T.ArrayType) and isinstance(have, T.ArrayType):
+        return F.transform(value, lambda x: _shaped(x, have.elementType, want.elementType))
+    nested = isinstance(want, (T.StructType, T.ArrayType)) or isinstance(have, (T.StructType, T.ArrayType, T.MapType))
+    return F.lit(None).cast(want) if nested else value.cast(want)
+
+
+def canonical_turns(records: DataFrame, record_col: str = "record", ignore=("id", "meta", "source", "lang"), ignore_listed=("name",), roles: dict[str, str] | None = ROLES) -> DataFrame:
+    """The input's columns, and layout (string) and turns (array of role, text), for records of mixed layouts.
+
+    Records are JSON texts or structs. The nested field paths of each record, those in ``ignore`` and keys of listed objects in
+    either aside, are hashed, and the hash selects the declarative mapping (LAYOUTS) that makes the turns; the order of fields
+    is of no matter. Null, broken and empty records and unknown layouts have a null layout and null turns. In lists, null
+    elements are no turns, null texts and roles are ''. Role names are lower-cased and read by ``roles``, or stay as they are
+    if that is None. Input columns named layout or turns are replaced; rows that repeat stay.
     """
     keep = [F.col(f"in.{c}").alias(c) for c in records.columns if c.lower() not in ("layout", "turns")]
     rows = records.select(F.struct(*[F.col(c) for c in records.columns]).alias("in"))
-    record = F.col(f"in.{record_col}")
+    record, kind, want = F.col(f"in.{record_col}"), records.schema[record_col].dataType, T._parse_datatype_string(_RECORD)
+    nested = isinstance(kind, T.StructType)
     aside = [*ignore, *ignore_listed]
-    paths = F.filter(json_paths(record), lambda p: ~F.when(F.contains(p, F.lit("[].")), F.lower(F.substring_index(p, "[].", -1)).isin(*aside)).otherwise(F.lower(p).isin(*ignore)))
-    rows = rows.select("in", fingerprint(paths).alias("print"), F.from_json(record, T._parse_datatype_string(_RECORD)).alias("r"))
+    paths = struct_paths(record, kind) if nested else json_paths(record)
+    paths = F.filter(paths, lambda p: ~F.when(F.contains(p, F.lit("[].")), F.lower(F.substring_index(p, "[].", -1)).isin(*aside)).otherwise(F.lower(p).isin(*ignore)))
+    rows = rows.select("in", fingerprint(paths).alias("print"), (_shaped(record, kind, want) if nested else F.from_json(record, want)).alias("r"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for name, (fields, sql) in LAYOUTS.items():
         is_it = F.col("print") == fingerprint(F.array(*[F.lit(p) for p in fields]))
         layout, turns = F.when(is_it, F.lit(name)).otherwise(layout), F.when(is_it, F.expr(sql)).otherwise(turns)
 
     def clean(t: Column) -> Column:
-        role = F.lower(F.coalesce(t["role"], F.lit("")))
-        named = F.lit(None)
-        for a, b in ROLES.items():
+        role = F.coalesce(t["role"], F.lit("")) if roles is None else F.lower(F.coalesce(t["role"], F.lit("")))
+        named = F.lit(None).cast("string")
+        for a, b in (roles or {}).items():
             named = F.when(role == a, F.lit(b)).otherwise(named)
         return F.struct(F.coalesce(named, role).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))
 
@@ -111,20 +134,23 @@ def canonical_turns(records: DataFrame, record_col: str = "record", ignore=("id"
 def turns_of_rows(table: DataFrame) -> DataFrame:
     """(conv_id, turns) from a table of one turn a row.
 
-    The fingerprint of the table's field paths, other columns aside, selects which columns are the conversation, the
-    order, the role and the text (TURN_TABLES); a table that fits none raises ValueError. Turns are in the order of the
-    order column, null first, ties by role and text; repeated rows are repeated turns; null roles and texts are ''; a null
-    conversation id is a conversation. A conversation becomes one row, whatever its length.
+    Rows become one record for each conversation, a struct with a list ``messages`` of what the table has of SPEAKER and SAID,
+    and canonical_turns() maps it by the hash of its field paths; roles stay as they are. A table without a column of
+    CONVERSATION or of ORDER raises ValueError; one of no known layout has null turns. Other columns are of no matter. Turns
+    are in the order of the order column, null first, ties by role and text; repeated rows are repeated turns; null roles and
+    texts are ''; a null conversation id is a conversation. A conversation becomes one row, whatever its length.
     """
-    have = {c.lower() for c in table.columns}
-    prints = {name_print(names): names for names in TURN_TABLES}
-    fit = next((prints[p] for p in (name_print(have.intersection(names)) for names in TURN_TABLES) if p in prints), None)
-    if fit is None:
-        raise ValueError(f"no known layout of turns: {sorted(have)}")
-    conv, order, role, text = fit
-    said = F.struct(F.col(order).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = table.select(F.col(conv).alias("conv_id"), said.alias("said")).groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("said"))
-    return rows.select("conv_id", F.transform("said", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    have = {c.lower(): c for c in table.columns}
+    conv, order = (next((have[c] for c in names if c in have), None) for names in (CONVERSATION, ORDER))
+    if conv is None or order is None:
+        raise ValueError(f"no column for the conversation or the order of turns: {sorted(have)}")
+    who, what = ([have[c] for c in names if c in have] for names in (SPEAKER, SAID))
+    blank = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"by{i}") for i, c in enumerate([*who, *what])]
+    message = F.struct(*[F.col(c).cast("string").alias(c.lower()) for c in (*who, *what)]) if who or what else F.struct(F.lit(None).cast("string").alias("none"))
+    said = F.sort_array(F.collect_list(F.struct(F.col(order).alias("turn"), *blank, message.alias("message"))))
+    records = table.groupBy(F.col(conv).alias("conv_id")).agg(said.alias("said"))
+    records = records.select("conv_id", F.struct(F.transform("said", lambda t: t["message"]).alias("messages")).alias("record"))
+    return canonical_turns(records, roles=None).select("conv_id", "turns")
 
 
 def escape(text: Column, escapes=ESCAPES) -> Column:
