@@ -34,11 +34,11 @@ class ChunkIds(dict):
         return ids
 
 
-def id_encoder(path: str | None = None):
-    """text -> id bytes under the public byte-level BPE of 50,257 ids, special strings being ordinary text.
+def id_encoder(path: str | None = None, added: tuple[str, int] = ("<|endoftext|>", 50256)):
+    """text -> id bytes under the public byte-level BPE of 50,257 ids, its one added token among them.
 
     ``path`` is the rank file of that vocabulary; by default the one beside the tokenizer file. Texts where a space stands
-    next to other white space are encoded in one go, all others chunk by chunk with a cache; ids are the same either way
+    next to other white space, and those that hold the added token, are encoded in one go, all others chunk by chunk with a cache; ids are the same either way
     (tests compare both with the ``tokenizers`` library).
     """
     if path not in _MADE:
@@ -51,6 +51,8 @@ def id_encoder(path: str | None = None):
         cache = ChunkIds(encode)
 
         def ids(text: str) -> bytes:
+            if added[0] in text:
+                return np.array([added[1]], "<u4").tobytes().join(np.array(encode(part), "<u4").tobytes() for part in text.split(added[0]))
             if not text or _AWKWARD.search(text) or text[0].isspace() or text[-1].isspace():
                 return np.array(encode(text), "<u4").tobytes()
             head, *rest = text.split(" ")
