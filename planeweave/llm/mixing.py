@@ -75,21 +75,23 @@ def pivot(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, last: bool)
     return np.array(p)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 42, bucket_rows: int = 2048) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 42, bucket_rows: int = 2048, row_col: str | None = None) -> DataFrame:
     """How many copies of each document the mix takes: row_id, doc_id, size, source_size, target, copies, taken.
 
     size is the number of words ``[^\\x20\\x09-\\x0D]+`` of the whole text (null or empty: 0). A document's expected number
     of copies is target / source_size; the whole part is certain, and the fractions of a source are rounded by pairwise
     transfers that keep the sum of size * fraction. Documents of a source are dealt into buckets of about bucket_rows by a
-    hash of their id; each bucket leaves one fraction at most, and these residuals go through the same step, level after
+    hash of their id and text, and a bucket that rows of one id and text overfill is split by row; each bucket leaves one fraction at most, and these residuals go through the same step, level after
     level, until one bucket for each source is left, so that no task sees more than a bucket however large a source is.
-    Draws depend on seed, source and ids alone, so reruns agree; rows that repeat are documents of their own; documents of
-    size 0 take whole copies by their hash, which moves no words. A null source is a source; an empty table gives no rows.
+    Draws depend on seed, source, ids and texts alone, so reruns agree; rows that repeat are documents of their own, and which
+    of a thousand equal ones gets a copy more may differ with the order of files. row_id is row_col, a whole number unique to
+    each row, or else made here. Documents of size 0 take whole copies by their hash, which moves no words. A null source is a source; an empty table gives no rows.
     """
     spark = docs.sparkSession
     sized = docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row_id"),
         F.col(id_col).alias("doc_id"),
+        F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)).alias("draw"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
@@ -99,7 +101,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     small = F.broadcast if n_sources <= 50_000 else (lambda df: df)
     right = targets.withColumnRenamed("source", "of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    uniform = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    uniform = F.pmod(F.xxhash64(F.lit(seed), "draw"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rated = (
         sized.join(small(right), F.col("source").eqNullSafe(F.col("of")), "left")
         .withColumn("rate", rate)
@@ -111,21 +113,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     def level(open_rows: DataFrame, most: int, number: int) -> DataFrame:
         n = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / F.lit(bucket_rows))).cast("long") if most > bucket_rows else F.lit(1)
-        keyed = open_rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + number), F.col("doc_id").cast("string")), n))
+        keyed = open_rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + number), "draw"), n)).withColumn("part_of", F.lit(0).cast("long"))
+        full = keyed.groupBy(F.col("source").alias("of"), F.col("bucket").alias("at")).agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > 2 * bucket_rows)
+        if most > bucket_rows and full.limit(1).count():
+            split = F.when(F.col("held").isNotNull(), F.pmod(F.xxhash64("row_id"), F.ceil(F.col("held") / bucket_rows).cast("long"))).otherwise(F.col("part_of"))
+            keyed = keyed.join(full, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at")), "left").withColumn("part_of", split)
         last = most <= bucket_rows
 
         def rounded(key, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["size", "doc_id", "row_id"], ascending=[False, True, True], kind="stable")
-            name = f"{seed}|{number}|{key[0]!r}|{key[1]}".encode()
+            pdf = pdf.sort_values(["size", "draw", "row_id"], ascending=[False, True, True], kind="stable")
+            name = f"{seed}|{number}|{key[0]!r}|{key[1]}|{key[2]}".encode()
             p = pivot(pdf["size"].to_numpy(float), pdf["part"].to_numpy(float), np.random.default_rng(zlib.crc32(name)), last)
-            return pdf.assign(part=p)[["row_id", "doc_id", "source", "size", "part"]]
+            return pdf.assign(part=p)[["row_id", "draw", "source", "size", "part"]]
 
-        key = ["source", "bucket"]
-        schema = f"row_id long, doc_id {dict(sized.dtypes)['doc_id']}, source {dict(sized.dtypes)['source']}, size long, part double"
-        return materialize(keyed.select("row_id", "doc_id", "source", "size", "part", *key[1:]).groupBy(*key).applyInPandas(rounded, schema), "rounded")
+        key = ["source", "bucket", "part_of"]
+        schema = f"row_id long, draw long, source {dict(sized.dtypes)['source']}, size long, part double"
+        return materialize(keyed.select("row_id", "draw", "size", "part", *key).groupBy(*key).applyInPandas(rounded, schema), "rounded")
 
     settled, number, most = [], 0, most_rows or 0
-    rows = rated.where("part > 0").select("row_id", "doc_id", "source", "size", "part", "n_rows")
+    rows = rated.where("part > 0").select("row_id", "draw", "source", "size", "part", "n_rows")
     while True:
         done = level(rows, most, number)
         settled.append(done.where("part = 1").select("row_id"))
@@ -151,6 +157,6 @@ def op6_pivotal_mix(spark, sf_dir: str) -> DataFrame:
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them."""
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("row_key"), "*"), "keyed")
-    taken = mix(rows.select(F.col("row_key").alias("doc_id"), "text", "source"))
-    kept = rows.join(taken.where("copies > 0").select(F.col("doc_id").alias("row_key"), F.col("copies").cast("int").alias("mix_copies")), "row_key")
+    taken = mix(rows.select("row_key", "doc_id", "text", "source"), row_col="row_key")
+    kept = rows.join(taken.where("copies > 0").select(F.col("row_id").alias("row_key"), F.col("copies").cast("int").alias("mix_copies")), "row_key")
     return kept.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
