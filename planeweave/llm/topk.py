@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from planeweave.plans.storage import materialize
 
 EXACT = 2.0**53
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 class CoverTree:
@@ -31,7 +32,7 @@ class CoverTree:
         far = np.sqrt(((x - self.x[rows[centre]]) ** 2).sum(1))
         node, radius, children = len(self.nodes), float(far.max()), []
         self.nodes.append(None)
-        if len(rows) > leaf and radius > 0:
+        if len(rows) > leaf and 0 < radius < np.inf:
             centres, own = [centre], np.zeros(len(rows), np.int64)
             while far.max() > radius / base and len(centres) <= len(rows) // 4:
                 c = int(far.argmax())
@@ -69,7 +70,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, data:
     """Walks two cover trees together; a pair of nodes goes if no inner product in it can reach the group's worst kth score.
 
     With centres p, q and radii r, s, none exceeds ``p.q + r|q| + s|p| + rs``. Components are whole numbers, so scores are
-    exact in doubles while they stay under 2**53, and are summed in Python's integers otherwise.
+    exact in doubles while they stay under 2**53, and are summed in Python's integers, up to the ends of 64 bits, otherwise.
     """
     top = TopK(query_ids, floor, k)
     a, b = CoverTree(queries), CoverTree(data)
@@ -82,12 +83,13 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, data:
     while stack:
         i, j = stack.pop()
         m, n = a.nodes[i], b.nodes[j]
-        most = bound(m, n)
+        with np.errstate(over="ignore", invalid="ignore"):
+            most = bound(m, n)
         if most + 1e-9 * abs(most) + 1e-6 < top.worst[m[4]].min():
             continue
         if not m[3] and not n[3]:
             q, d = queries[m[4]], data[n[4]]
-            scores = [[sum(int(s) * int(t) for s, t in zip(u, v)) for v in d] for u in q] if large else q @ d.T
+            scores = [[max(LEAST, min(MOST, sum(int(s) * int(t) for s, t in zip(u, v)))) for v in d] for u in q] if large else q @ d.T
             top.offer(m[4], np.array(scores, object) if large else scores, ids[n[4]])
         elif n[3] and (not m[3] or n[2] >= m[2]):
             stack += [(i, c) for c in sorted(n[3], key=lambda c: bound(m, b.nodes[c]))]
@@ -103,18 +105,23 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     or hold a null or a component that is not finite, and null ids, take no part; vectors are compared with those of their
     own length only; rows of one id are one vector if they repeat, and never each other's result.
 
+    Components whose scaled value is not finite count as not finite; scores beyond 64 bits become the nearest long, ties
+    among them to the smaller id.
+
     Of equal vectors only the k + 1 smallest ids can be results, so the rest of a group of copies is left before any
     search. Vectors go to the nearest of at most most_centres centres (a bounded sample by hash, which only shapes the
-    blocks) and, by a hash, to blocks of about ``block``. Each query first searches its own centre's blocks, and its kth
-    score there is what all other blocks must reach (see search). Queries travel in blocks too: the work is that of a
-    stated query set against all rows, and no task holds more than a block of each.
+    cells) and, by a hash, to blocks of about ``block``. Each query first searches its own cell's blocks, and its kth
+    score there is what all others must reach: it is sent on to those cells alone whose centre and radius allow that, and
+    a cell's vectors go only to query blocks with such a query (then see search). No task holds more than a block of each.
     """
     spark = vectors.sparkSession
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            v = [np.floor(scale * np.array(x, float)) for x in pdf["v"]]
-            yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy(), "v": [x.tobytes() for x in v]})
+            with np.errstate(over="ignore"):
+                v = [np.floor(scale * np.array(x, float)) for x in pdf["v"]]
+            ok = np.array([np.isfinite(x).all() for x in v], bool)
+            yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[ok], "v": [x.tobytes() for x, good in zip(v, ok) if good]})
 
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
     rows = materialize(rows.mapInPandas(whole, "vec_id long, v binary").distinct(), "vectors")
@@ -130,21 +137,25 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     def celled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cells = np.zeros(len(pdf), np.int64)
+            cells, far = np.zeros(len(pdf), np.int64), np.full(len(pdf), np.inf)
             sizes = pdf["v"].map(len).to_numpy()
             for n in np.unique(sizes) if len(pdf) else ():
                 if n in stacked and n:
                     at = np.flatnonzero(sizes == n)
                     x, c = np.array([np.frombuffer(b) for b in pdf["v"].iloc[at]]), stacked[n]
                     cells[at] = ((c * c).sum(1)[None, :] - 2 * x @ c.T).argmin(1)
-            yield pdf.assign(dim=sizes // 8, cell=cells)
-
-    cells = materialize(data.mapInPandas(celled, "vec_id long, v binary, dim long, cell long"), "cells")
-    salts = max(1, -(-(cells.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) // block))
-    cells = cells.withColumn("db", F.col("cell") * salts + F.pmod(F.xxhash64("vec_id"), F.lit(salts)))
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).mapInPandas(celled, "vec_id long, v binary, dim long, cell long")
+                    far[at] = np.sqrt(((x - c[cells[at]]) ** 2).sum(1))
+            yield pdf.assign(dim=sizes // 8, cell=cells, far=far)
+
+    with_cell = "vec_id long, v binary, dim long, cell long, far double"
+    cells = materialize(data.mapInPandas(celled, with_cell), "cells")
+    shapes = {(r.dim, r.cell): (r.n, r.far) for r in cells.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
+    salts = max(1, -(-max((n for n, _ in shapes.values()), default=0) // block))
+    salted = lambda n: F.col("cell") * n + F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    cells = cells.drop("far").withColumn("db", salted(salts))
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).mapInPandas(celled, with_cell).drop("far")
     queries = materialize(queries.withColumn("floor", F.lit(float("-inf"))), "queries")
-    n_blocks, n_query = n_centres * salts, max(1, -(-queries.count() // block))
+    query_salts = max(1, -(-(queries.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) // block))
     found_schema = "query_id long, vec_id long, score long"
 
     def searched(key, q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
@@ -159,11 +170,32 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     one = near.groupBy("dim", "db").cogroup(cells.groupBy("dim", "db")).applyInPandas(searched, found_schema)
     one = materialize(one, "near")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    floors = one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("reach"))
-    known = queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("reach", "floor")).drop("reach")
-    deal = F.pmod(F.xxhash64("vec_id"), F.lit(n_query)) if n_query > n_centres else F.floor(F.col("cell") * n_query / n_centres).cast("long")
-    far = known.withColumn("qb", deal).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>"))).where(F.floor(F.col("db") / salts) != F.col("cell"))
-    spread = cells.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1)).cast("array<bigint>")))
+    # a little less than the kth score, which a double may not hold
+    reach = (F.col("score").cast("double") - F.abs(F.col("score").cast("double")) * F.lit(1e-15)).alias("reach")
+    floors = one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), reach)
+    known = queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("reach", "floor")).drop("reach").withColumn("qb", salted(query_salts))
+
+    def reaching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each query once for each other cell of its length in which a product can reach its floor."""
+        for pdf in batches:
+            for n, part in pdf.groupby("dim"):
+                mine = sorted(c for d, c in shapes if d == n)
+                x = np.array([np.frombuffer(b) for b in part["v"]]).reshape(len(part), -1)
+                for c in mine:
+                    radius, centre = shapes[n, c][1], stacked[8 * n][c] if 8 * n in stacked and n else None
+                    if centre is None or not np.isfinite(radius):
+                        ok = np.ones(len(part), bool)
+                    else:
+                        most = x @ centre + radius * np.sqrt((x * x).sum(1))
+                        ok = most + 1e-9 * np.abs(most) + 1e-6 >= part["floor"].to_numpy()
+                    ok &= part["cell"].to_numpy() != c
+                    if ok.any():
+                        yield part.loc[ok].assign(to=c)
+
+    sent = materialize(known.mapInPandas(reaching, "vec_id long, v binary, dim long, cell long, floor double, qb long, to long"), "sent")
+    far = sent.withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("db", F.col("to") * salts + F.col("db"))
+    wanted = materialize(sent.select("dim", F.col("to").alias("cell"), "qb").distinct(), "wanted")
+    spread = cells.join(wanted, ["dim", "cell"])
     two = far.groupBy("dim", "qb", "db").cogroup(spread.groupBy("dim", "qb", "db")).applyInPandas(searched, found_schema)
     both = one.unionByName(two)
     return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
