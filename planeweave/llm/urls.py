@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Hosts blocked unless a rule says otherwise.
 BLOCKED = ("casino-win.example.net", "free-bets.example.net", "cheap-pills.example.net", "adult-x.example.com", "ads-track.example.com", "spam-farm.example.org")
-MOST_BYTES = 1 << 30
+#: A list given in memory is handed to executors as one file up to here; a longer one goes the way of a table.
+MOST_BYTES = 1 << 28
 #: (application, file name) of what has been handed out: a file of one content is added once.
 _SHIPPED: set[tuple[str, str]] = set()
 
@@ -76,8 +77,6 @@ class DigestArray:
 
 def ship(spark, array: bytes) -> str:
     """Hands the array to every executor, present and future, as a file of its own; returns the file's name."""
-    if len(array) > MOST_BYTES:
-        raise ValueError(f"the list takes {len(array)} bytes; at most {MOST_BYTES} are handed to an executor: split it by host and filter in turn")
     name = f"urls-{hashlib.sha256(array).hexdigest()[:24]}.bin"
     if (spark.sparkContext.applicationId, name) not in _SHIPPED:
         folder = tempfile.mkdtemp(prefix="planeweave-urls-")
@@ -88,21 +87,56 @@ def ship(spark, array: bytes) -> str:
     return name
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, blocked: Iterable[str] = BLOCKED) -> DataFrame:
+def listed_hosts(hosts: DataFrame, listed: DataFrame, shard_keys: int = 1 << 20) -> DataFrame:
+    """(host, listed) for the hosts (column host) that are in the list (column host) or below a host in it: the longest such.
+
+    The list is cut by a hash into digest arrays of about shard_keys keys; each is built, mapped and probed in a task of its own,
+    with the distinct suffixes that fall to it. A host has as many suffixes as the longest entry of the list has labels.
+    """
+    keys = listed.select(F.col("host").alias("key")).where("key <> ''").distinct()
+    most = keys.agg(F.max(F.size(F.split("key", r"\.", -1)))).first()[0] or 0
+    labels = F.least(F.size(F.split("host", r"\.", -1)), F.lit(most))
+    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(labels, F.lit(1))), lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k))
+    probes = hosts.where("host <> ''").select("host").distinct().select("host", F.explode(suffixes).alias("key"))
+    asked = probes.select("key").distinct()
+    shards = max(1, -(-max(keys.count(), asked.count()) // shard_keys))
+    dealt = lambda df: df.select("key", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).groupBy("shard")
+
+    def found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        with tempfile.TemporaryDirectory() as folder:
+            path = os.path.join(folder, "keys")
+            with open(path, "wb") as f:
+                f.write(DigestArray.build(right["key"], range(len(right))))
+            hit = DigestArray(path).find([k.encode() for k in left["key"]]) >= 0
+        return left.loc[hit, ["key"]]
+
+    hits = dealt(asked).cogroup(dealt(keys)).applyInPandas(found, "key string")
+    return probes.join(hits, "key").groupBy("host").agg(F.max_by("key", F.length("key")).alias("listed"))
+
+
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, blocked: Iterable[str] | DataFrame = BLOCKED) -> DataFrame:
     """page_id, host, path, rule, verdict, listed for every row.
 
     A rule fits its host and all subdomains where the path starts with the rule's path; of those that fit, the longest
-    ``host + path`` wins. Where none fits, the verdict is block if the host or a parent of it is in ``blocked``, which
-    ``listed`` names, and allow otherwise. Each url probes one sorted digest array with every suffix of its host, alone and
-    with every rule-path length of its path. Null urls and urls without ``://`` have an empty host and path, which no rule
-    fits. Rows that repeat are judged each; an empty table gives no rows.
+    ``host + path`` wins. Where none fits, the verdict is block if the host or a parent of it is in ``blocked``, the longest of
+    which ``listed`` names, and allow otherwise. blocked is a list in memory or, of any size, a table with a column host (see
+    listed_hosts). Each url probes one sorted digest array with the suffixes of its host, of as many labels as the longest
+    entry has, alone and with every rule-path length of its path. Null urls and urls without ``://`` have an empty host and
+    path, which no rule fits. Rows that repeat are judged each; null ids stay; an empty table gives no rows.
     """
-    rules = list(rules)
+    rules, table = list(rules), None
+    if isinstance(blocked, DataFrame):
+        table, blocked = blocked, ()
+    else:
+        blocked = list(blocked)
+        if sum(map(len, blocked)) + 20 * len(blocked) > MOST_BYTES:
+            table, blocked = pages.sparkSession.createDataFrame([(h,) for h in blocked], "host string"), ()
     entries = [f"r{h}{p}" for h, p, _ in rules] + [f"h{h}" for h in blocked]
     names = [f"{h}{p}" for h, p, _ in rules]
     verdicts = [v for _, _, v in rules]
     sizes = sorted({len(p) for _, p, _ in rules})
     hosts = {h for h, _, _ in rules}
+    most = max((h.count(".") + 1 for h in (*hosts, *blocked)), default=1)
     name = ship(pages.sparkSession, DigestArray.build(entries, range(len(entries))))
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,6 +144,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         for pdf in batches:
             probes, owner = [], []
             for i, (host, path) in enumerate(zip(pdf["host"], pdf["path"])):
+                host = ".".join(host.rsplit(".", most)[-most:])
                 while host:
                     keys = [b"h" + host.encode()]
                     if host in hosts:
@@ -126,12 +161,17 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 elif rule[i] is None or len(names[v]) > len(names[rule[i]]):
                     rule[i] = v
             pdf["rule"] = pd.Series([None if r is None else names[r] for r in rule], index=pdf.index, dtype=object)
-            pdf["verdict"] = [verdicts[r] if r is not None else "block" if x else "allow" for r, x in zip(rule, listed)]
+            pdf["verdict"] = pd.Series([verdicts[r] if r is not None else "block" if x else "allow" for r, x in zip(rule, listed)], index=pdf.index, dtype=object)
             pdf["listed"] = pd.Series(listed, index=pdf.index, dtype=object)
             yield pdf
 
     rows = pages.select(pages[id_col].alias("page_id"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"))
-    return rows.mapInPandas(judged, f"page_id {dict(rows.dtypes)['page_id']}, host string, path string, rule string, verdict string, listed string")
+    out = rows.mapInPandas(judged, f"page_id {dict(rows.dtypes)['page_id']}, host string, path string, rule string, verdict string, listed string")
+    if table is None:
+        return out
+    out = out.drop("listed").join(listed_hosts(rows.select("host"), table), "host", "left")
+    verdict = F.when(F.col("rule").isNull() & F.col("listed").isNotNull(), F.lit("block")).otherwise(F.col("verdict"))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "listed")
 
 
 def op2_digest_url_filter(spark, sf_dir: str) -> DataFrame:
