@@ -42,6 +42,19 @@ class Endings(dict):
         return found
 
 
+class Hashed(dict):
+    """token -> row of weights and class; remembers tokens up to a bound."""
+
+    def __init__(self, model: LanguageModel, most: int = 200_000):
+        self.model, self.most = model, most
+
+    def __missing__(self, token: bytes) -> tuple[int, int]:
+        if len(self) >= self.most:
+            self.clear()
+        self[token] = found = (zlib.crc32(token) % (self.model.rows - 1), self.model.class_of(token))
+        return found
+
+
 def count_tokens(training: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(token, bucket, c) over all training texts, and (code, n): how often bucket code // BUCKETS stands before code % BUCKETS."""
 
@@ -110,7 +123,7 @@ class LanguageModel:
     def __init__(self, tokens: list[bytes], counts: np.ndarray, singles: dict[bytes, float], sizes: np.ndarray, classes_of: np.ndarray, rows: int):
         k = int(classes_of.max()) + 1
         self.m, self.rows, self.n_classes, self.singles, self.classes_of = len(tokens), rows, len(singles) + k, {t: i for i, t in enumerate(singles)}, classes_of
-        self.ids = {t: i for i, t in enumerate(tokens)}
+        self.ids, self.hashed = {t: i for i, t in enumerate(tokens)}, None
         mass = np.array([np.bincount(classes_of, sizes[:, c], k) for c in (0, 1)])
         self.share = np.concatenate([np.zeros(len(singles)), -np.log10(mass.sum(0) + 1)])
         self.cls = np.array([self.class_of(t) for t in tokens] + [0], np.int64)
@@ -137,9 +150,10 @@ class LanguageModel:
             at += len(x)
         ids = np.concatenate(parts)
         row, cls = self.row[ids], self.cls[ids]
-        odd = [w for r in rare for w in r]
-        row[ids < 0] = [zlib.crc32(w) % (self.rows - 1) for w in odd]
-        cls[ids < 0] = [self.class_of(w) for w in odd]
+        odd = np.flatnonzero(ids < 0)
+        if len(odd):
+            self.hashed = self.hashed if self.hashed is not None else Hashed(self)
+            row[odd], cls[odd] = np.array([self.hashed[w] for r in rare for w in r], np.int64).T
         return ids, row, cls, np.array(starts, np.int64), rare
 
     def features(self, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -174,8 +188,12 @@ class LanguageModel:
                 rows = f[t][order]
                 first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
                 expected[t][rows[first]] += np.add.reduceat(e[order], first, axis=0)
-                pair, n = np.unique(f[t] * self.n_classes + c, return_counts=True)
-                seen[t].reshape(-1)[pair] += n
+                pairs, flat = f[t] * self.n_classes + c, seen[t].reshape(-1)
+                if len(flat) <= 16 * chunk:
+                    flat += np.bincount(pairs, minlength=len(flat))
+                else:
+                    pair, n = np.unique(pairs, return_counts=True)
+                    flat[pair] += n
 
 
 def _in_blocks(batches: Iterator[pd.DataFrame], tokens: int = 200_000) -> Iterator[pd.DataFrame]:

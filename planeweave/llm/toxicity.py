@@ -82,6 +82,7 @@ def document_counts(docs: DataFrame, words: list[bytes]) -> tuple[np.ndarray, in
             total = r.n
         else:
             out[r.term] = r.n
+    sent.destroy()
     return out, total
 
 
@@ -131,7 +132,7 @@ class BlockMaxIndex:
         self.matrix[self.row[term[at]], doc[at]] = val[at]
         term, doc, val = term[~at], doc[~at], val[~at]
         by = np.lexsort((doc, term))
-        term, self.doc, self.val = term[by], doc[by], val[by]
+        term, self.doc, self.val = term[by], doc[by].astype(np.int32), val[by]
         key = term * (self.blocks + 1) + self.doc // block
         self.start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
         self.size = np.diff(np.r_[self.start, len(key)])
@@ -206,6 +207,7 @@ class Model:
         self.empty = float(((y * w)[empty].sum() + self.prior) / (w[empty].sum() + 1))
         held = np.flatnonzero(~empty)
         votes = np.array([self.vote(*near) for a in range(0, len(held), 256) for near in index.search([index.unit_of[e] for e in held[a : a + 256]], k, held[a : a + 256])])
+        index.unit_of = None  # only needed here
         # two mild witnesses keep the ends of the scale off 0 and 1
         self.x, self.y = isotonic(np.r_[votes, 0.0, 1.0], np.r_[y[held], 0.0, 1.0], np.r_[w[held], 1.0, 1.0])
 
