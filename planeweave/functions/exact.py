@@ -89,6 +89,40 @@ def half_turn(dx: Column, dy: Column) -> Column:
 
 
 def counter_clockwise(a: Column, b: Column) -> Column:
-    """Comparator of structs with dx and dy: counter-clockwise from -x, exact; for array_sort."""
+    """Comparator of structs with dx and dy (longs of up to 33 bits): counter-clockwise from -x, exact; for array_sort."""
     ha, hb = half_turn(a["dx"], a["dy"]), half_turn(b["dx"], b["dy"])
-    return F.when(ha != hb, ha - hb).otherwise(-sign(cross(a["dx"], a["dy"], b["dx"], b["dy"])))
+    far = F.greatest(*[F.abs(v[c]) for v in (a, b) for c in ("dx", "dy")]) >= F.lit(1 << 31)
+    big = [wide(v[c], True) for v in (a, b) for c in ("dx", "dy")]
+    turn = F.when(far, sign(cross(*big))).otherwise(sign(cross(a["dx"], a["dy"], b["dx"], b["dy"])))
+    return F.when(ha != hb, ha - hb).otherwise(-turn)
+
+
+def words_of(n: Column) -> tuple[Column, Column]:
+    """A long as high and low word: sums of either stay within 64 bits for up to 2**31 rows."""
+    return F.shiftright(n, 32), n.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def of_words(high: Column, low: Column) -> Column:
+    """The whole number of two sums, as decimal(38,0)."""
+    return (high.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + low.cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
+def exact_sum(n: Column) -> Column:
+    """Aggregate: the sum of longs as decimal(38,0), which no sum of areas leaves."""
+    high, low = words_of(n)
+    return of_words(F.sum(high), F.sum(low))
+
+
+def ratio_order(num: Column, den: Column, needs_wide: bool) -> Column:
+    """A struct that sorts as num / den does, for den > 0 and both below 2**33.
+
+    Of narrow terms a double tells any two apart; of wide ones the whole part and 36 digits do, as two fractions differ by
+    2**-66 at least.
+    """
+    if not needs_wide:
+        return F.struct((num / den).alias("a"))
+    digits = F.lit(10**18).cast("decimal(19,0)")
+    rest = F.pmod(num, den)
+    first = F.call_function("div", rest.cast("decimal(11,0)") * digits, den)
+    left = (rest.cast("decimal(11,0)") * digits - first.cast("decimal(19,0)") * den.cast("decimal(11,0)")).cast("decimal(11,0)")
+    return F.struct(floor_div(num, den).alias("a"), first.alias("b"), F.call_function("div", left * digits, den).alias("c"))

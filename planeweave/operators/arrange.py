@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from planeweave.functions.exact import NARROW, along, boxes_touch, crosses, crossing_terms, floor_div, pixel_hit, snapped, wide
+from planeweave.sources.geometry import envelope
 
 ENDS = ["x1", "y1", "x2", "y2"]
 
@@ -52,21 +53,22 @@ def cells_of(rows: DataFrame, cell: int, x1="x1", y1="y1", x2="x2", y2="y2", gro
 
 
 def _box(prefix: str) -> dict[str, Column]:
-    c = lambda n: F.col(prefix + n)
-    return {"xmin": F.least(c("x1"), c("x2")), "xmax": F.greatest(c("x1"), c("x2")), "ymin": F.least(c("y1"), c("y2")), "ymax": F.greatest(c("y1"), c("y2"))}
+    return envelope(*[F.col(prefix + n) for n in ENDS])
 
 
 def crossings(segments: DataFrame, cell: int, needs_wide: bool = False) -> DataFrame:
-    """(gid, ends of one, ends of the other as o_*, x, y): each pair that crosses inside both, once for each cell they share."""
+    """(gid, ends of one, ends of the other as o_*, x, y): each pair that crosses inside both, in the cell of its snapped crossing alone."""
     held = cells_of(segments.select("gid", *ENDS), cell)
     other = held.select("gid", "cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ENDS])
     first = F.struct(*ENDS) < F.struct(*[F.col(f"o_{c}").alias(c) for c in ENDS])
     pairs = held.join(other, ["gid", "cx", "cy"]).where(first & boxes_touch(_box(""), _box("o_")))
     mine, its = [wide(F.col(c), needs_wide) for c in ENDS], [wide(F.col(f"o_{c}"), needs_wide) for c in ENDS]
     # the terms pass through a generator of one row, so that the optimizer doesn't write them out at every use
-    pairs = pairs.select("gid", *ENDS, *[f"o_{c}" for c in ENDS], F.explode(F.array(crossing_terms(*mine, *its))).alias("k")).where(crosses(F.col("k")))
+    pairs = pairs.select("gid", "cx", "cy", *ENDS, *[f"o_{c}" for c in ENDS], F.explode(F.array(crossing_terms(*mine, *its))).alias("k")).where(crosses(F.col("k")))
     x, y = snapped(mine[0], mine[2] - mine[0], F.col("k")), snapped(mine[1], mine[3] - mine[1], F.col("k"))
-    return pairs.select("gid", *ENDS, *[f"o_{c}" for c in ENDS], x.alias("x"), y.alias("y"))
+    pairs = pairs.select("gid", "cx", "cy", *ENDS, *[f"o_{c}" for c in ENDS], x.alias("x"), y.alias("y"))
+    h = F.lit(cell).cast("long")
+    return pairs.where((floor_div(F.col("x"), h) == F.col("cx")) & (floor_div(F.col("y"), h) == F.col("cy"))).drop("cx", "cy")
 
 
 def hot_pixels(segments: DataFrame, cell: int, needs_wide: bool = False) -> DataFrame:

@@ -105,13 +105,13 @@ def next_half_edges(edges: DataFrame) -> DataFrame:
     return at.select("gid", (F.col("vx") + F.col("s.dx")).alias("sx"), (F.col("vy") + F.col("s.dy")).alias("sy"), F.col("vx").alias("ex"), F.col("vy").alias("ey"), (F.col("vx") + following["dx"]).alias("nx"), (F.col("vy") + following["dy"]).alias("ny"))
 
 
-def component_rays(edges: DataFrame, band: int) -> DataFrame:
+def component_rays(edges: DataFrame, band: int, needs_wide: bool = False) -> DataFrame:
     """(gid, x, y, near_sx, near_sy, near_ex, near_ey): what the leftmost vertex of each component sees to -x, null if none.
 
     A component that sees nothing lies in the outermost face; another lies in the face right of the edge that it sees.
     """
     starts = vertex_components(edges).select("gid", F.col("cx").alias("x"), F.col("cy").alias("y")).distinct()
-    return ray_nearest(materialize(starts, "leftmost"), edges, band, EDGE)
+    return ray_nearest(materialize(starts, "leftmost"), edges, band, EDGE, needs_wide)
 
 
 def half_edge_winding(faces: DataFrame) -> DataFrame:

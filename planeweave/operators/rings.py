@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planeweave.functions.exact import counter_clockwise
+from planeweave.functions.exact import counter_clockwise, floor_div, ratio_order, wide
 from planeweave.operators.graph import connected_components
 from planeweave.plans.storage import materialize
 from planeweave.sources.geometry import ring_area2
@@ -65,38 +65,42 @@ def trace(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialize(rings, "rings"), own
 
 
-def ray_nearest(points: DataFrame, edges: DataFrame, band: int, tags: list[str]) -> DataFrame:
+def ray_nearest(points: DataFrame, edges: DataFrame, band: int, tags: list[str], needs_wide: bool = False) -> DataFrame:
     """points (gid, x, y, ...) with the tags (as near_*) of the edge that a ray to -x meets first, null if none.
 
     An edge from y1 to y2 > y1 counts for y1 <= y < y2 where it lies strictly left of the point. Of edges that leave one
-    vertex at the point's height upward, the rightmost one is met first.
+    vertex at the point's height upward, the rightmost one is met first. All comparisons are exact.
     """
     up = F.col("sy") < F.col("ey")
     lo = lambda a, b: F.when(up, F.col(a)).otherwise(F.col(b))
     upward = edges.where("sy <> ey").select("gid", lo("sx", "ex").alias("ax"), lo("sy", "ey").alias("ay"), lo("ex", "sx").alias("bx"), lo("ey", "sy").alias("by"), *[F.col(t).alias(f"near_{t}") for t in tags])
     upward = upward.withColumn("band", F.explode(F.sequence(F.floor(F.col("ay") / band), F.floor((F.col("by") - 1) / band))))
     asked = points.withColumn("band", F.floor(F.col("y") / band)).withColumn("__ask", F.struct(*points.columns))
-    met = asked.join(upward, ["gid", "band"]).where("ay <= y and y < by and (x - ax) * (by - ay) > (y - ay) * (bx - ax)")
-    # where the edge is at the point's height: whole part, then the rest as a fraction compared exactly by doubles of small terms
-    num, den = (F.col("y") - F.col("ay")) * (F.col("bx") - F.col("ax")), F.col("by") - F.col("ay")
-    whole = F.col("ax") + F.call_function("div", num - F.pmod(num, den), den)
-    best = met.groupBy("__ask").agg(F.max_by(F.struct(*[f"near_{t}" for t in tags]), F.struct(whole, F.pmod(num, den) / den, (F.col("bx") - F.col("ax")) / den)).alias("near"))
+    c = lambda n: wide(F.col(n).cast("long"), needs_wide)
+    left = (c("x") - c("ax")) * (c("by") - c("ay")) > (c("y") - c("ay")) * (c("bx") - c("ax"))
+    met = asked.join(upward, ["gid", "band"]).where((F.col("ay") <= F.col("y")) & (F.col("y") < F.col("by")) & left)
+    # where the edge is at the point's height: the whole part, then the rest as a fraction; then how the edge leans
+    num, den = (c("y") - c("ay")) * (c("bx") - c("ax")), F.col("by") - F.col("ay")
+    order = F.struct(F.col("ax") + floor_div(num, c("by") - c("ay")), ratio_order(F.pmod(num, c("by") - c("ay")).cast("long"), den, needs_wide), ratio_order(F.col("bx") - F.col("ax"), den, needs_wide))
+    best = met.groupBy("__ask").agg(F.max_by(F.struct(*[f"near_{t}" for t in tags]), order).alias("near"))
     return asked.select("__ask").join(best, "__ask", "left").select(*[F.col(f"__ask.{c}").alias(c) for c in points.columns], *[F.col(f"near.near_{t}").alias(f"near_{t}") for t in tags])
 
 
-def polygons(edges: DataFrame, band: int = 64) -> DataFrame:
+def polygons(edges: DataFrame, band: int = 64, needs_wide: bool = False) -> DataFrame:
     """(gid, geometry): the polygons that boundary edges enclose; a group without edges has no row.
 
     Each hole's leftmost vertex looks to -x; the ring it sees bounds the same face, and faces are the components of that.
+    A face without exactly one outer ring is an error.
     """
     rings, own = trace(edges)
     name = ["rx", "ry", "rex", "rey"]
     ring_id = lambda p="": F.struct("gid", *[F.col(p + n).alias(n) for n in name])
     holes = rings.where("area2 < 0").select("gid", *name, F.expr("array_min(ring)").alias("p")).select("gid", *name, F.col("p.x").cast("long").alias("x"), F.col("p.y").cast("long").alias("y"))
-    seen = ray_nearest(holes, own, band, name).where("near_rx is not null")
+    seen = ray_nearest(holes, own, band, name, needs_wide).where("near_rx is not null")
     faces = connected_components(seen.select(ring_id().alias("src"), ring_id("near_").alias("dst")))
     named = rings.withColumn("node", ring_id()).join(faces, "node", "left").withColumn("face", F.coalesce("component", "node"))
     outer = F.max(F.when(F.col("area2") > 0, F.col("ring")))
     inner = F.array_sort(F.collect_list(F.when(F.col("area2") < 0, F.col("ring"))))
-    one = named.groupBy("gid", "face").agg(outer.alias("outer_ring"), inner.alias("inner_rings"))
+    one = named.groupBy("gid", "face").agg(outer.alias("outer_ring"), inner.alias("inner_rings"), F.count_if(F.col("area2") > 0).alias("outers"))
+    one = one.withColumn("outer_ring", F.when(F.col("outers") == 1, F.col("outer_ring")).otherwise(F.raise_error(F.lit("a face without exactly one outer ring"))))
     return one.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("outer_ring", "inner_rings"))).alias("geometry"))

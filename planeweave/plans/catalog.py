@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planeweave.functions.exact import along, crossing, pixel_hit, side
+from planeweave.functions.exact import along, cross, crossing, pixel_hit, side
 from planeweave.operators import arrange, grid, halfedges, rings
-from planeweave.plans.layers import SQL_RECTS, SQL_TRIANGLES, rect_a, rect_b, triangles
+from planeweave.plans.layers import SQL_FRAMES, SQL_RECTS, SQL_TRIANGLES, frames, rect_a, rect_b, triangles
 from planeweave.plans.overlay import Overlay
+from planeweave.plans.storage import materialize
 from planeweave.sources import geometry as G
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +51,11 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.withColumn("gid", F.col("gid.gid"))
 
 
+def _long(df: DataFrame) -> DataFrame:
+    """area2 as a long, which these layers never leave."""
+    return df.withColumn("area2", F.col("area2").cast("long"))
+
+
 # overlays of rectangles, against counts of unit cells
 
 _CELLS = SQL_RECTS + """,
@@ -58,7 +64,7 @@ depth as (select gid, cx, cy, sum(s) as w from cells group by all)"""
 
 for _op, (_keep, _sign) in OPS.items():
     query(f"{_op}_area", "with " + _CELLS.replace("{sign}", str(_sign)) + f" select gid, cast(2 * count(*) as bigint) as area2 from depth where {_keep} group by gid")(
-        lambda spark, d, op=_op: Overlay(rect_a(spark, d), rect_b(spark, d), keys=["gid"], op=op).area2()
+        lambda spark, d, op=_op: _long(Overlay(rect_a(spark, d), rect_b(spark, d), keys=["gid"], op=op).area2())
     )
 
 _SELF = "with " + _CELLS.replace("union all select *, {sign} as s from rect_b", "")
@@ -66,17 +72,17 @@ _SELF = "with " + _CELLS.replace("union all select *, {sign} as s from rect_b",
 
 @query("selfor_area", _SELF + " select gid, cast(2 * count(*) as bigint) as area2 from depth where w > 0 group by gid")
 def selfor_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Overlay(rect_a(spark, sf_dir), keys=["gid"], op="self_union").area2()
+    return _long(Overlay(rect_a(spark, sf_dir), keys=["gid"], op="self_union").area2())
 
 
 @query("depth_histogram", "with " + _CELLS.replace("{sign}", "1") + " select gid, cast(w as bigint) as depth, cast(2 * count(*) as bigint) as area2 from depth group by gid, w")
 def depth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Overlay(rect_a(spark, sf_dir), rect_b(spark, sf_dir), keys=["gid"]).depths().withColumn("depth", F.col("depth").cast("long"))
+    return _long(Overlay(rect_a(spark, sf_dir), rect_b(spark, sf_dir), keys=["gid"]).depths()).withColumn("depth", F.col("depth").cast("long"))
 
 
 @query("covered_at_least_3", "with " + _CELLS.replace("{sign}", "1") + " select gid, cast(2 * count(*) as bigint) as area2 from depth where w >= 3 group by gid")
 def covered_at_least_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Overlay(rect_a(spark, sf_dir), rect_b(spark, sf_dir), keys=["gid"], keep=lambda w: w >= 3).area2()
+    return _long(Overlay(rect_a(spark, sf_dir), rect_b(spark, sf_dir), keys=["gid"], keep=lambda w: w >= 3).area2())
 
 
 # the arrangement of triangles
@@ -86,13 +92,13 @@ _DEN, _T, _U = "((x2 - x1) * (v2 - v1) - (y2 - y1) * (u2 - u1))", "((u1 - x1) *
 _OFF = "((x - x1) * (y2 - y1) - (y - y1) * (x2 - x1))"
 
 
-def _arrangement(sign: int = 1) -> str:
+def _arrangement(sign: int = 1, source: str = SQL_TRIANGLES) -> str:
     """CTEs bag, pairs, crossing, pixels, hits, sub, edges over both layers; sign -1 turns layer 1 round."""
     turned = "select gid, case when layer = 1 then x2 else x1 end as x1, case when layer = 1 then y2 else y1 end as y1, case when layer = 1 then x1 else x2 end as x2, case when layer = 1 then y1 else y2 end as y2 from steps"
-    source = "select gid, x1, y1, x2, y2 from steps" if sign > 0 else turned
+    taken = "select gid, x1, y1, x2, y2 from steps" if sign > 0 else turned
     snap = lambda a, r: f"{a} + {_FLOOR(f'2 * t * {r} + d - 1', '2 * d')}"
-    return f"""{SQL_TRIANGLES},
-directed as ({source}),
+    return f"""{source},
+directed as ({taken}),
 bag as (select gid, least([x1, y1], [x2, y2]) as a, greatest([x1, y1], [x2, y2]) as b, sum(case when [x1, y1] < [x2, y2] then 1 else -1 end) as m from directed group by all),
 seg as materialized (select row_number() over () as sid, gid, a[1] as x1, a[2] as y1, b[1] as x2, b[2] as y2, m from bag),
 pairs as (select s.*, o.x1 as u1, o.y1 as v1, o.x2 as u2, o.y2 as v2 from seg s join seg o on s.gid = o.gid and (s.x1, s.y1, s.x2, s.y2) < (o.x1, o.y1, o.x2, o.y2)
@@ -127,14 +133,14 @@ def _bounded(keep: str) -> str:
 bound as materialized (select gid, {turn('sx', 'ex')}, {turn('sy', 'ey')}, {turn('ex', 'sx')}, {turn('ey', 'sy')} from faces where ({right}) <> ({left}))"""
 
 
-def _sql(tail: str, keep: str | None = None, sign: int = 1) -> str:
-    return "with recursive " + _arrangement(sign) + (_WINDING + _bounded(keep) if keep else "") + tail
+def _sql(tail: str, keep: str | None = None, sign: int = 1, source: str = SQL_TRIANGLES) -> str:
+    return "with recursive " + _arrangement(sign, source) + (_WINDING + _bounded(keep) if keep else "") + tail
 
 
 _AREA = " select gid, cast(sum(ex * sy - sx * ey) as bigint) as area2 from bound group by gid having sum(ex * sy - sx * ey) <> 0"
 for _op, (_keep, _sign) in OPS.items():
-    query(f"tri_{_op}_area", _sql(_AREA, _keep, _sign))(lambda spark, d, op=_op: tri_overlay(spark, d, op).area2())
-query("tri_selfor_area", _sql(_AREA, "w > 0"))(lambda spark, d: tri_overlay(spark, d, "self_union").area2())
+    query(f"tri_{_op}_area", _sql(_AREA, _keep, _sign))(lambda spark, d, op=_op: _long(tri_overlay(spark, d, op).area2()))
+query("tri_selfor_area", _sql(_AREA, "w > 0"))(lambda spark, d: _long(tri_overlay(spark, d, "self_union").area2()))
 
 
 @query("overlay_edges", _sql(" select gid, sx, sy, ex, ey from bound", "w > 0"))
@@ -145,7 +151,7 @@ def overlay_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("segment_intersections", _sql(" select distinct gid, x1, y1, x2, y2, u1, v1, u2, v2, x, y from crossing"))
 def segment_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = tri_overlay(spark, sf_dir)
-    found = arrange.crossings(o.bag, o.cell, o.wide).distinct()
+    found = arrange.crossings(o.bag, o.cell, o.wide)
     return _plain(found).withColumnsRenamed({"o_x1": "u1", "o_y1": "v1", "o_x2": "u2", "o_y2": "v2"})
 
 
@@ -251,7 +257,7 @@ select p.gid, p.x, p.y, sx as near_sx, sy as near_sy, ex as near_ex, ey as near_
 @query("component_rays", _sql(_COMPONENTS + _RAY))
 def component_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = tri_overlay(spark, sf_dir)
-    return _plain(halfedges.component_rays(o.edges, o.cell))
+    return _plain(halfedges.component_rays(o.edges, o.cell, o.wide))
 
 
 _SPOKES = """,
@@ -286,14 +292,55 @@ ring as (select t.gid, t.f, t.n, t.area2 from tour t join follow f on f.gid = t.
 @query("ring_areas", _sql(_RINGS + " select gid, f[1] as rx, f[2] as ry, cast(n + 1 as bigint) as n_points, cast(area2 as bigint) as area2 from ring", "w > 0"))
 def ring_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _plain(rings.trace(tri_overlay(spark, sf_dir).boundary)[0])
-    return found.select("gid", "rx", "ry", F.size("ring").cast("long").alias("n_points"), "area2")
+    return found.select("gid", "rx", "ry", F.size("ring").cast("long").alias("n_points"), F.col("area2").cast("long").alias("area2"))
 
 
 @query("polygon_ring_counts", _sql(_RINGS + " select gid, count(*) filter (area2 > 0) as n_polygons, count(*) filter (area2 < 0) as n_holes, cast(sum(area2) as bigint) as area2 from ring group by gid", "w > 0"))
 def polygon_ring_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tri_overlay(spark, sf_dir).polygons()
     holes = F.aggregate("geometry", F.lit(0).cast("long"), lambda t, p: t + F.size(p["inner_rings"]))
-    return found.select("gid", F.size("geometry").cast("long").alias("n_polygons"), holes.alias("n_holes"), G.area2(F.col("geometry")).alias("area2"))
+    return found.select("gid", F.size("geometry").cast("long").alias("n_polygons"), holes.alias("n_holes"), G.area2(F.col("geometry")).cast("long").alias("area2"))
+
+
+# whole geometries: every ring's points, and which hole lies in which polygon
+
+_POLYGONS = _RINGS.replace("select gid, [sx, sy, ex, ey], sx", "select gid, [sx, sy, ex, ey], [[sx, sy], [ex, ey]], sx").replace("tour(gid, f,", "tour(gid, f, points,").replace(
+    "select t.gid, t.f, f.ex", "select t.gid, t.f, list_append(points, [f.nx, f.ny]), f.ex").replace("select t.gid, t.f, t.n", "select t.gid, t.f, t.points, t.n").replace("\nring as", "\nloop as") + """,
+piece as (select gid, f, unnest(points[:-2]) as a, unnest(points[2:]) as b from loop),
+looked as (select h.gid, h.f as hole, e.f as onto, e.a[1] + (h.f[2] - e.a[2]) * (e.b[1] - e.a[1]) / (e.b[2] - e.a[2]) as hit_x, (e.b[1] - e.a[1]) / (e.b[2] - e.a[2]) as lean from loop h join piece e on e.gid = h.gid and h.area2 < 0
+  and e.a[2] <> e.b[2] and least(e.a[2], e.b[2]) <= h.f[2] and h.f[2] < greatest(e.a[2], e.b[2])
+  and (h.f[1] - e.a[1]) * (e.b[2] - e.a[2]) * sign(e.b[2] - e.a[2])::int > (h.f[2] - e.a[2]) * (e.b[1] - e.a[1]) * sign(e.b[2] - e.a[2])::int),
+seen as (select gid, hole, onto from looked qualify row_number() over (partition by gid, hole order by hit_x desc, lean desc) = 1),
+chase(gid, hole, f) as (select gid, hole, onto from seen union all select c.gid, c.hole, s.onto from chase c join seen s on s.gid = c.gid and s.hole = c.f),
+said as (select gid, f, points, area2, '(' || array_to_string(list_transform(points, lambda p: p[1] || ' ' || p[2]), ',') || ')' as text from loop),
+filled as (select c.gid, c.f, list(h.text order by h.points) as holes, list(h.points order by h.points) as hole_points from chase c join said o on o.gid = c.gid and o.f = c.f and o.area2 > 0 join said h on h.gid = c.gid and h.f = c.hole group by c.gid, c.f),
+whole as (select o.gid, o.points, coalesce(hole_points, []) as hole_points, '(' || array_to_string(list_concat([o.text], coalesce(holes, [])), ',') || ')' as text from said o left join filled using (gid, f) where o.area2 > 0)
+select gid, 'MULTIPOLYGON(' || string_agg(text, ',' order by points, hole_points) || ')' as wkt from whole group by gid"""
+
+
+def frame_overlay(spark: SparkSession, sf_dir: str, op: str = "union") -> Overlay:
+    rows = frames(spark, sf_dir)
+    if op == "self_union":
+        return Overlay(rows, keys=["gid"], op=op)
+    return Overlay(rows.where("layer = 0"), rows.where("layer = 1"), keys=["gid"], op=op)
+
+
+def _wkt(o: Overlay) -> DataFrame:
+    return o.polygons().select("gid", G.to_wkt(F.col("geometry")).alias("wkt"))
+
+
+for _op, (_keep, _sign) in (OPS | {"self_union": ("w > 0", 1)}).items():
+    query(f"frame_{_op}_polygons", _sql(_POLYGONS, _keep, _sign, SQL_FRAMES))(lambda spark, d, op=_op: _wkt(frame_overlay(spark, d, op)))
+query("tri_union_polygons", _sql(_POLYGONS, "w > 0"))(lambda spark, d: _wkt(tri_overlay(spark, d)))
+
+
+@query("overlay_again", f"with {SQL_FRAMES} select distinct gid, true as is_valid, true as same from steps")
+def overlay_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unions are valid, and a union of a union is the same geometry."""
+    once = materialize(frame_overlay(spark, sf_dir).polygons(), "union")
+    again = Overlay(once, keys=["gid"])
+    twice = again.polygons().withColumnRenamed("geometry", "other")
+    return once.join(twice, "gid").join(again.validity(), "gid").select("gid", "is_valid", G.same_geometry(F.col("geometry"), F.col("other")).alias("same"))
 
 
 # scalars, ingest and the grid
@@ -322,13 +369,13 @@ def ring_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("wkt_roundtrip", f"with {SQL_RECTS} select id, 'MULTIPOLYGON(((' || x || ' ' || y || ',' || x || ' ' || y + h || ',' || x + w || ' ' || y + h || ',' || x + w || ' ' || y || ',' || x || ' ' || y || ')))' as wkt, 2 * w * h as area2 from rect_a")
 def wkt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = G.from_wkt(G.to_wkt(F.col("geometry")))
-    return rect_a(spark, sf_dir).select("id", G.to_wkt(back).alias("wkt"), G.area2(back).alias("area2"))
+    return rect_a(spark, sf_dir).select("id", G.to_wkt(back).alias("wkt"), G.area2(back).cast("long").alias("area2"))
 
 
 @query("segment_bbox", f"with {SQL_TRIANGLES} select id, cast(i as integer) as i, least(x1, x2) as xmin, least(y1, y2) as ymin, greatest(x1, x2) as xmax, greatest(y1, y2) as ymax from steps")
 def segment_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = ring_segments(spark, sf_dir)
-    return s.select("id", "i", F.least("x1", "x2").alias("xmin"), F.least("y1", "y2").alias("ymin"), F.greatest("x1", "x2").alias("xmax"), F.greatest("y1", "y2").alias("ymax"))
+    return s.select("id", "i", *[c.alias(n) for n, c in G.envelope(*map(F.col, ("x1", "y1", "x2", "y2"))).items()])
 
 
 @query("segment_scalars", f"""with {SQL_TRIANGLES}, a as (select a.id, a.i, a.x1, a.y1, a.x2, a.y2, b.x1 as u1, b.y1 as v1, b.x2 as u2, b.y2 as v2, a.x1 + a.id % 9 as x, a.y1 + a.id % 11 as y from steps a join steps b on a.gid = b.gid and a.i = b.i and b.id = a.id + 1),
@@ -345,7 +392,7 @@ def segment_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = [F.col(n) for n in ("x1", "y1", "x2", "y2")]
     x, y = F.col("x1") + F.col("id") % 9, F.col("y1") + F.col("id") % 11
     return s.join(o, ["gid", "i", "id"]).select(
-        "id", "i", ((c[2] - c[0]) * (F.col("v2") - F.col("v1")) - (c[3] - c[1]) * (F.col("u2") - F.col("u1"))).alias("turn"),
+        "id", "i", cross(c[2] - c[0], c[3] - c[1], F.col("u2") - F.col("u1"), F.col("v2") - F.col("v1")).alias("turn"),
         along(x, y, c[2] - c[0], c[3] - c[1]).alias("along"), side(x, y, *c).alias("side"),
         crossing(*c, F.col("u1"), F.col("v1"), F.col("u2"), F.col("v2"))["x"].alias("cross_x"), pixel_hit(x, y, *c).alias("hit"),
     )

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planeweave.functions.exact import exact_sum
 from planeweave.operators import arrange, rings
 from planeweave.operators.winding import boundary, winding
 from planeweave.plans.storage import materialize
@@ -63,15 +64,15 @@ class Overlay:
         return df.select(*[F.col(f"gid.{k}").alias(k) for k in self.keys], *rest)
 
     def area2(self) -> DataFrame:
-        """(keys, area2): twice the kept area; groups that keep nothing have no row."""
+        """(keys, area2: decimal(38,0)): twice the kept area; groups that keep nothing have no row."""
         turn = F.col("ex") * F.col("sy") - F.col("sx") * F.col("ey")
-        return self._named(self.boundary.groupBy("gid").agg(F.sum(turn).cast("long").alias("area2")).where("area2 <> 0"))
+        return self._named(self.boundary.groupBy("gid").agg(exact_sum(turn).alias("area2")).where("area2 <> 0"))
 
     def depths(self) -> DataFrame:
-        """(keys, depth, area2): twice the area at each winding number but 0."""
+        """(keys, depth, area2: decimal(38,0)): twice the area at each winding number but 0."""
         turn = F.col("ex") * F.col("sy") - F.col("sx") * F.col("ey")
         sides = self.faces.select("gid", F.explode(F.array(F.struct(F.col("w_right").alias("depth"), turn.alias("t")), F.struct(F.col("w_left").alias("depth"), (-turn).alias("t")))).alias("s"))
-        return self._named(sides.groupBy("gid", "s.depth").agg(F.sum("s.t").cast("long").alias("area2")).where("depth <> 0 and area2 <> 0"))
+        return self._named(sides.groupBy("gid", "s.depth").agg(exact_sum(F.col("s.t")).alias("area2")).where("depth <> 0 and area2 <> 0"))
 
     def rings(self) -> DataFrame:
         """(keys, area2, ring): every ring of the result."""
@@ -79,7 +80,17 @@ class Overlay:
 
     def polygons(self) -> DataFrame:
         """(keys, geometry): the resulting multi-polygons."""
-        return self._named(rings.polygons(materialize(self.boundary, "boundary"), max(1, self.cell)))
+        return self._named(rings.polygons(materialize(self.boundary, "boundary"), max(1, self.cell), self.wide))
+
+    def validity(self) -> DataFrame:
+        """(keys, is_valid): whether the layer's rings, clockwise around and counter-clockwise inside, are polygons already: no face
+        is covered twice or turned inside out, no part of an edge is used twice, and no edge has the same face on both sides."""
+        steps = arrange.sub_edges(arrange.pixel_hits(self.bag, arrange.hot_pixels(self.bag, self.cell, self.wide), self.cell, self.wide))
+        taken = steps.groupBy("gid").agg(F.count(F.lit(1)).alias("steps"), F.max(F.abs("m")).alias("most"), F.min(F.abs("m")).alias("least"))
+        one = F.col("w_right").isin(0, 1) & F.col("w_left").isin(0, 1) & (F.col("power") == 1)
+        sides = self.faces.groupBy("gid").agg(F.count(F.lit(1)).alias("edges"), F.every(one).alias("one"))
+        ok = (F.col("steps") == F.col("edges")) & (F.col("most") == 1) & (F.col("least") == 1) & F.col("one")
+        return self._named(taken.join(sides, "gid", "left").select("gid", F.coalesce(ok, F.lit(False)).alias("is_valid")))
 
 
 def overlay(a: DataFrame, b: DataFrame | None = None, keys: list[str] | None = None, op: str | None = None, **how) -> DataFrame:

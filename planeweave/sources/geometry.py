@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planeweave.functions.exact import cross, of_words, wide, words_of
+
 POINT = "struct<x:int,y:int>"
 RING = f"array<{POINT}>"
 POLYGON = f"struct<outer_ring:{RING},inner_rings:array<{RING}>>"
@@ -72,9 +74,60 @@ def from_wkt(wkt: Column) -> Column:
 
 
 def ring_area2(ring: Column) -> Column:
-    """Twice the area of a ring as a long, positive if clockwise."""
-    return F.aggregate(ring_segments(ring), F.lit(0).cast("long"), lambda t, s: t + s["x2"] * s["y1"] - s["x1"] * s["y2"])
+    """Twice the area of a ring as decimal(38,0), positive if clockwise; exact for all of int32."""
+    zero = F.struct(F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("low"))
+
+    def add(t: Column, s: Column) -> Column:
+        high, low = words_of(s["x2"] * s["y1"] - s["x1"] * s["y2"])
+        return F.struct((t["high"] + high).alias("high"), (t["low"] + low).alias("low"))
+
+    return F.aggregate(ring_segments(ring), zero, add, lambda t: of_words(t["high"], t["low"]))
 
 
 def area2(multipolygon: Column) -> Column:
-    return F.aggregate(rings_of(multipolygon), F.lit(0).cast("long"), lambda t, r: t + ring_area2(r))
+    return F.aggregate(rings_of(multipolygon), F.lit(0).cast("decimal(38,0)"), lambda t, r: (t + ring_area2(r)).cast("decimal(38,0)"))
+
+
+def canonical_ring(ring: Column) -> Column:
+    """The ring without points on straight runs, closed, from its least point; of several ways that begin there, the least.
+
+    Rings that enclose the same points in the same direction come out equal. A ring of no area is empty.
+    """
+
+    def let(value: Column, then) -> Column:
+        """then(value), the value being made once."""
+        return F.get(F.transform(F.array(value), then), F.lit(0))
+
+    def distinct(r: Column) -> Column:
+        return F.filter(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), lambda p, i: ~p.eqNullSafe(F.get(r, i + 1)))
+
+    def bent(r: Column) -> Column:
+        def bends(p: Column, i: Column) -> Column:
+            before, after = F.get(r, F.pmod(i - 1, F.size(r))), F.get(r, F.pmod(i + 1, F.size(r)))
+            d = [wide(a[c].cast("long") - b[c].cast("long"), True) for a, b in ((p, before), (after, p)) for c in ("x", "y")]
+            return cross(*d) != 0
+
+        return F.filter(r, bends)
+
+    def turned(r: Column) -> Column:
+        starts = let(F.array_min(r), lambda least: F.filter(F.sequence(F.lit(1), F.size(r)), lambda k: F.get(r, k - 1) == least))
+        return F.array_min(F.transform(starts, lambda k: F.concat(F.slice(r, k, F.size(r)), F.slice(r, 1, k))))
+
+    return let(let(let(closed(ring), distinct), bent), lambda r: F.when(F.size(r) > 2, turned(r)).otherwise(F.array().cast(RING)))
+
+
+def canonical(multipolygon: Column) -> Column:
+    """The multi-polygon with canonical rings, holes and polygons in order; those of no area left out. Null for null."""
+    holes = lambda p: F.array_sort(F.filter(F.transform(F.coalesce(p["inner_rings"], F.array().cast(f"array<{RING}>")), canonical_ring), lambda r: F.size(r) > 0))
+    polygons = F.transform(multipolygon, lambda p: F.struct(canonical_ring(p["outer_ring"]).alias("outer_ring"), holes(p).alias("inner_rings")))
+    return F.array_sort(F.filter(polygons, lambda p: F.size(p["outer_ring"]) > 0))
+
+
+def same_geometry(a: Column, b: Column) -> Column:
+    """Whether both are the same polygons, whatever the order of polygons and holes, where rings begin, and points on straight runs."""
+    return canonical(a).eqNullSafe(canonical(b))
+
+
+def envelope(x1: Column, y1: Column, x2: Column, y2: Column) -> dict[str, Column]:
+    """The closed box of a segment."""
+    return {"xmin": F.least(x1, x2), "ymin": F.least(y1, y2), "xmax": F.greatest(x1, x2), "ymax": F.greatest(y1, y2)}

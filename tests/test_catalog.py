@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from planeweave.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-CHEAP = ["selfor_area", "difference_area", "depth_histogram", "tri_intersection_area", "half_edge_winding", "edge_power", "chains", "closed_chains", "ring_areas", "component_rays", "next_half_edge", "ring_segments", "ring_reverse", "wkt_roundtrip", "segment_scalars", "bbox_overlap_pairs", "grid_cell_counts", "grid_ray_left"]
+CHEAP = ["selfor_area", "difference_area", "depth_histogram", "tri_intersection_area", "half_edge_winding", "edge_power", "chains", "closed_chains", "ring_areas", "component_rays", "frame_difference_polygons", "next_half_edge", "ring_segments", "ring_reverse", "wkt_roundtrip", "segment_scalars", "bbox_overlap_pairs", "grid_cell_counts", "grid_ray_left"]
 
 
 def rows_of(names, rows):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from planeweave.plans.overlay import Overlay, overlay
-from planeweave.sources.geometry import area2, from_wkt
+from planeweave.sources.geometry import area2, from_wkt, same_geometry
 
 
 def _r(x1, y1, x2, y2):
@@ -78,3 +78,30 @@ def test_empty_null_and_broken(spark):
     layer = df.select("k", from_wkt(F.col("w")).alias("geometry"), F.lit(1).alias("gid"))
     assert [(r.k, r.area2) for r in Overlay(layer, keys=["k"], op="self_union").area2().collect()] == [(None, 2)]
     assert Overlay(layer.where("false"), keys=["k"], op="self_union").area2().collect() == []
+
+
+def test_all_of_int32(spark):
+    """Squares with corners at +-2,000,000,000, and a hole whose ray meets two long edges that a double can't tell apart."""
+    far, mid = 2_000_000_000, 1_000_000_000
+    a, b = _holed((-far, -far, far, far), (-mid, -mid, mid, mid)), _r(0, -far, far, far)
+    rows = spark.createDataFrame([(0, f"MULTIPOLYGON({a})", f"MULTIPOLYGON({b})")], "k long, a string, b string")
+    la, lb = (rows.select("k", from_wkt(F.col(c)).alias("geometry")) for c in "ab")
+    whole, hole, half = 2 * (2 * far) ** 2, 2 * (2 * mid) ** 2, far * 2 * far * 2
+    both = half - hole // 2
+    want = {"union": whole - hole // 2, "intersection": both, "difference": whole - hole - both, "symmetric_difference": whole - hole // 2 - both}
+    for op, twice in want.items():
+        got = overlay(la, lb, ["k"], op).select(area2(F.col("geometry")).alias("a")).collect()
+        assert [int(r.a) for r in got] == [twice], op
+    assert [int(r.area2) for r in Overlay(la, keys=["k"]).area2().collect()] == [whole - hole]
+
+
+def test_same_geometry_and_validity(spark):
+    rows = [
+        ("MULTIPOLYGON(((0 0,0 2,0 4,4 4,4 0,0 0),(1 1,2 1,2 2,1 2,1 1)),((9 9,9 10,10 10,10 9,9 9)))", "MULTIPOLYGON(((9 10,10 10,10 9,9 9)),((4 4,4 0,0 0,0 4,4 4,4 4),(2 2,1 2,1 1,2 1,2 2)))", True, True),
+        ("MULTIPOLYGON(((0 0,0 4,4 4,4 0,0 0)))", "MULTIPOLYGON(((0 0,4 0,4 4,0 4,0 0)))", False, True),
+        ("MULTIPOLYGON(((0 0,0 4,4 4,4 0,0 0)),((3 3,3 5,5 5,5 3,3 3)))", None, False, False),
+        ("MULTIPOLYGON(((0 0,4 4,0 4,4 0,0 0)))", "MULTIPOLYGON EMPTY", False, False),
+    ]
+    df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "k long, a string, b string").select("k", from_wkt(F.col("a")).alias("geometry"), from_wkt(F.col("b")).alias("b"))
+    assert [r.same for r in df.orderBy("k").select(same_geometry(F.col("geometry"), F.col("b")).alias("same")).collect()] == [r[2] for r in rows]
+    assert {r.k: r.is_valid for r in Overlay(df, keys=["k"]).validity().collect()} == {i: r[3] for i, r in enumerate(rows)}
