@@ -59,7 +59,7 @@ def test_near_copies_against_brute_force(spark, most):
         if 5 * both >= 4 * (len(made[i]) + len(made[j]) - both):
             pairs += made[i] != made[j] and (simhash.simhash64(texts[i]) ^ simhash.simhash64(texts[j])).bit_count() > 2
             root[max(find(i), find(j))] = min(find(i), find(j))
-    group, first = {r.doc_id: r.group_fp for r in shingles.near_copies(docs, most=most).collect()}, {}
+    group, first = {r.doc_id: r.group_fp for r in shingles.near_copies(docs, most=most, block=256 if most == 200 else 5).collect()}, {}
     for i in range(len(texts)):
         first.setdefault(group[i], i)
     assert pairs > 20 and [first[group[i]] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
