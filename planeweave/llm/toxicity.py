@@ -161,24 +161,26 @@ class BlockMaxIndex:
             e, x = _ranges(self.entry[t], sizes), np.repeat(w, sizes)
             bound = known[q].reshape(self.blocks, self.block).max(1) + np.bincount(self.of_block[e], x * self.top[e], self.blocks)
             by = np.argsort(-bound, kind="stable")
-            sums, looked, reach = known[q].copy(), np.zeros(self.blocks, bool), 1e-15
+            sums, near, reach = known[q].copy(), np.empty(0, np.int64), 1e-15
+            if but is not None:
+                sums[but[q]] = -np.inf
             for part in (by[:first], by[first:]):
                 part = part[bound[part] >= reach - 1e-12]
                 if not len(part):
                     break
                 here = np.zeros(self.blocks, bool)
                 here[part] = True
-                looked |= here
-                at = here[self.of_block[e]]
-                post = _ranges(self.start[e[at]], self.size[e[at]])
-                sums += np.bincount(self.doc[post], np.repeat(x[at], self.size[e[at]]) * self.val[post], len(sums))
-                mine = np.where(np.repeat(looked, self.block), sums, 0)
-                if but is not None:
-                    mine[but[q]] = 0
+                near = np.r_[near, part]
+                at = np.flatnonzero(here[self.of_block[e]])
+                size = self.size[e[at]]
+                post = _ranges(self.start[e[at]], size)
+                sums += np.bincount(self.doc[post], np.repeat(x[at], size) * self.val[post], len(sums))
+                mine = sums.reshape(self.blocks, self.block)[near].ravel()
                 reach = max(reach, float(np.partition(mine, -k)[-k])) if len(mine) >= k else reach
             found = np.flatnonzero(mine >= reach)
-            found = found[np.lexsort((found, -mine[found]))][:k]
-            out.append((mine[found], found))
+            mine, found = mine[found], near[found // self.block] * self.block + found % self.block
+            order = np.lexsort((found, -mine))[:k]
+            out.append((mine[order], found[order]))
         return out
 
 
@@ -224,9 +226,9 @@ class Model:
         for a in range(0, len(texts), 256):
             said = []
             for text in texts[a : a + 256]:
-                c = Counter(words_of(text))
-                held = [w for w in c if w in ids]
-                said.append(self.index.unit(np.array([ids[w] for w in held], np.int64), np.array([c[w] for w in held], float)))
+                c = Counter(map(ids.get, words_of(text)))
+                c.pop(None, None)
+                said.append(self.index.unit(np.fromiter(c.keys(), np.int64, len(c)), np.fromiter(c.values(), float, len(c))))
             for cosine, near in self.index.search(said, self.k):
                 if not len(near):
                     yield self.empty, []
