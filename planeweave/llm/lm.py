@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -140,14 +141,14 @@ class LanguageModel:
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
         """Of all tokens, with EDGE places before each text: id (-1: not held; m: such a place), row, class; where each text begins, and
         its tokens that are not held."""
-        get, parts, starts, rare, at = self.ids.get, [np.empty(0, np.int64)], [], [], 0
+        get, edge, parts, starts, rare, at = self.ids.get, np.full(EDGE, self.m), [np.empty(0, np.int64)], [], [], 0
         for text in texts:
             words = split_words(text)
-            x = np.array([*[self.m] * EDGE, *(get(w, -1) for w in words)], np.int64)
-            parts.append(x)
+            x = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+            parts += edge, x
             starts.append(at)
-            rare.append([words[i - EDGE] for i in np.flatnonzero(x < 0)])
-            at += len(x)
+            rare.append([words[i] for i in np.flatnonzero(x < 0).tolist()])
+            at += EDGE + len(x)
         ids = np.concatenate(parts)
         row, cls = self.row[ids], self.cls[ids]
         odd = np.flatnonzero(ids < 0)
@@ -184,10 +185,11 @@ class LanguageModel:
             e = self.odds(f, weights)
             e /= e.sum(1, keepdims=True)
             for t in range(4):
-                order = np.argsort(f[t], kind="stable")
-                rows = f[t][order]
+                rows = f[t].astype(np.uint16) if self.rows <= 1 << 16 else f[t]  # sorted by radix
+                order = np.argsort(rows, kind="stable")
+                rows = rows[order]
                 first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-                expected[t][rows[first]] += np.add.reduceat(e[order], first, axis=0)
+                expected[t][rows[first]] += np.add.reduceat(e.take(order, axis=0), first, axis=0)
                 pairs, flat = f[t] * self.n_classes + c, seen[t].reshape(-1)
                 if len(flat) <= 16 * chunk:
                     flat += np.bincount(pairs, minlength=len(flat))
