@@ -42,8 +42,9 @@ def sampled_labels(labels: DataFrame, most: int, parts: int = 5, seed: int = 42)
     return materialize(out, "sample")
 
 
-def examples(docs: DataFrame, sample: DataFrame) -> tuple[list, list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
-    """The sampled rows that have a document, in order of id; the words of their whole texts; each text's words and counts.
+def examples(docs: DataFrame, sample: DataFrame) -> tuple[list, bytes, list[tuple[np.ndarray, np.ndarray]]]:
+    """(id, label, weight) of the sampled rows that have a document, in order of id; the words of their whole texts,
+    joined by spaces; each text's words, by number, and counts.
 
     Of several texts of one id the least counts. All of it is bounded by the sample.
     """
@@ -55,18 +56,27 @@ def examples(docs: DataFrame, sample: DataFrame) -> tuple[list, list[bytes], lis
 
     texts = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic", "weight").agg(F.min("text").alias("text"))
     rows = texts.mapInPandas(counted, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, weight double, words binary, counts binary").collect()
+    return _numbered(rows)
+
+
+def _numbered(rows: list) -> tuple[list, bytes, list[tuple[np.ndarray, np.ndarray]]]:
+    """What examples returns of its collected rows, which are emptied one by one: the driver never holds all twice."""
     rows.sort(key=lambda r: r.doc_id)
     ids: dict[bytes, int] = {}
-    said = [(np.array([ids.setdefault(w, len(ids)) for w in bytes(r.words).split()], np.int64), np.frombuffer(r.counts, np.int32)) for r in rows]
-    return rows, list(ids), said
+    known, said = [], []
+    for i, r in enumerate(rows):
+        rows[i] = None
+        known.append((r.doc_id, r.toxic, r.weight))
+        said.append((np.array([ids.setdefault(w, len(ids)) for w in bytes(r.words).split()], np.int32), np.frombuffer(r.counts, np.int32).copy()))
+    return known, b" ".join(ids), said
 
 
-def document_counts(docs: DataFrame, words: list[bytes]) -> tuple[np.ndarray, int]:
+def document_counts(docs: DataFrame, words: bytes) -> tuple[np.ndarray, int]:
     """In how many of all documents each word stands, and how many documents there are."""
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = {w: i for i, w in enumerate(sent.value)}
+        ids = {w: i for i, w in enumerate(sent.value.split())}
         n, total = np.zeros(len(ids), np.int64), 0
         for pdf in batches:
             total += len(pdf)
@@ -76,14 +86,12 @@ def document_counts(docs: DataFrame, words: list[bytes]) -> tuple[np.ndarray, in
         yield pd.DataFrame({"term": np.r_[-1, at], "n": np.r_[total, n[at]]})
 
     sums = docs.select("text").mapInPandas(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    out, total = np.zeros(len(words)), 0
-    for r in sums.collect():
-        if r.term < 0:
-            total = r.n
-        else:
-            out[r.term] = r.n
+    found = sums.toArrow()
+    term, n = found["term"].to_numpy(), found["n"].to_numpy()
+    out, known = np.zeros(len(words.split())), term >= 0
+    out[term[known]] = n[known]
     sent.destroy()
-    return out, total
+    return out, int(n[~known].sum())
 
 
 def relevance(said: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, n_words: int) -> np.ndarray:
@@ -117,28 +125,38 @@ class BlockMaxIndex:
 
     def __init__(self, ids: list, toxic: np.ndarray, weight: np.ndarray, said: list[tuple[np.ndarray, np.ndarray]], scale: np.ndarray, block: int = 64, common: int = 8):
         self.scale, self.block = scale, block
-        unit = [self.unit(*v) for v in said]
-        order = sorted(range(len(ids)), key=lambda i: (-1 if not len(unit[i][0]) else int(unit[i][0][unit[i][1].argmax()]), ids[i]))
+        heaviest = [int(t[self.unit(t, c)[1].argmax()]) if len(t) else -1 for t, c in said]
+        order = sorted(range(len(ids)), key=lambda i: (heaviest[i], ids[i]))
         self.ids, self.toxic, self.weight = [ids[i] for i in order], toxic[order], weight[order]
-        self.unit_of = [unit[i] for i in order]
         self.n, self.blocks = len(ids), -(-len(ids) // block)
-        term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in self.unit_of)])
-        doc = np.repeat(np.arange(self.n), [len(t) for t, _ in self.unit_of])
-        val = np.concatenate([np.empty(0), *(w for _, w in self.unit_of)])
+        ends = np.cumsum([0, *(len(said[i][0]) for i in order)])
+        term, val = np.empty(ends[-1], np.int32), np.empty(ends[-1])
+        for a, b, i in zip(ends[:-1], ends[1:], order):
+            term[a:b], val[a:b] = self.unit(*said[i])
+        doc = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(ends))
+        self.said = [said[i] for i in order]
         often = np.bincount(term, minlength=len(scale)) * common > self.n
         self.row = np.where(often, np.cumsum(often) - 1, -1)
         self.matrix = np.zeros((int(often.sum()), self.blocks * block))
         at = often[term]
         self.matrix[self.row[term[at]], doc[at]] = val[at]
-        term, doc, val = term[~at], doc[~at], val[~at]
-        by = np.lexsort((doc, term))
-        term, self.doc, self.val = term[by], doc[by].astype(np.int32), val[by]
-        key = term * (self.blocks + 1) + self.doc // block
-        self.start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-        self.size = np.diff(np.r_[self.start, len(key)])
-        self.of_block = self.doc[self.start] // block
-        self.top = np.maximum.reduceat(self.val, self.start) if len(key) else np.empty(0)
-        self.entry = np.searchsorted(term[self.start], np.arange(len(scale) + 1))
+        by = np.flatnonzero(~at)
+        by = by[np.argsort(term[by], kind="stable")]
+        term, self.doc, self.val = term[by], doc[by], val[by]
+        del by, at, doc, val
+        blocks = self.doc // np.int32(block)
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (blocks[1:] != blocks[:-1])]) if len(term) else np.empty(0, np.int64)
+        self.of_block = blocks[first]
+        self.top = np.maximum.reduceat(self.val, first) if len(first) else np.empty(0)
+        #: Where the postings of each term and block begin, and where the last ones end.
+        self.start = np.r_[first, len(term)].astype(np.int32 if len(term) < 2**31 else np.int64)
+        term = term[first]
+        self.entry = np.searchsorted(term, np.arange(len(scale) + 1))
+
+    @property
+    def unit_of(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The examples' unit vectors, made anew: the index itself keeps words and counts alone."""
+        return [self.unit(*v) for v in self.said]
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.scale[terms]
@@ -172,8 +190,9 @@ class BlockMaxIndex:
                 here[part] = True
                 near = np.r_[near, part]
                 at = np.flatnonzero(here[self.of_block[e]])
-                size = self.size[e[at]]
-                post = _ranges(self.start[e[at]], size)
+                begin = self.start[e[at]]
+                size = self.start[e[at] + 1] - begin
+                post = _ranges(begin, size)
                 sums += np.bincount(self.doc[post], np.repeat(x[at], size) * self.val[post], len(sums))
                 mine = sums.reshape(self.blocks, self.block)[near].ravel()
                 reach = max(reach, float(np.partition(mine, -k)[-k])) if len(mine) >= k else reach
@@ -201,15 +220,15 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 class Model:
     """Words, index, calibration, and the scores of texts."""
 
-    def __init__(self, words: list[bytes], index: BlockMaxIndex, k: int = 16):
+    def __init__(self, words: bytes, index: BlockMaxIndex, k: int = 16):
         self.words, self.index, self.k, self.known = words, index, k, None
-        empty = np.array([not len(t) for t, _ in index.unit_of], bool)
+        empty = np.array([not len(t) for t, _ in index.said], bool)
         y, w = index.toxic.astype(float), index.weight
         self.prior = float(((y * w).sum() + 0.05) / (w.sum() + 0.1)) if len(y) else 0.0
         self.empty = float(((y * w)[empty].sum() + self.prior) / (w[empty].sum() + 1))
         held = np.flatnonzero(~empty)
-        votes = np.array([self.vote(*near) for a in range(0, len(held), 256) for near in index.search([index.unit_of[e] for e in held[a : a + 256]], k, held[a : a + 256])])
-        index.unit_of = None  # only needed here
+        votes = np.array([self.vote(*near) for a in range(0, len(held), 256) for near in index.search([index.unit(*index.said[e]) for e in held[a : a + 256]], k, held[a : a + 256])])
+        index.said = None  # only needed here
         # two mild witnesses keep the ends of the scale off 0 and 1
         self.x, self.y = isotonic(np.r_[votes, 0.0, 1.0], np.r_[y[held], 0.0, 1.0], np.r_[w[held], 1.0, 1.0])
 
@@ -221,7 +240,7 @@ class Model:
     def score(self, texts) -> Iterator[tuple[float, list]]:
         """The calibrated score of each text, and the ids of its three nearest examples."""
         if self.known is None:
-            self.known = {w: i for i, w in enumerate(self.words)}
+            self.known = {w: i for i, w in enumerate(self.words.split())}
         texts, ids = list(texts), self.known
         for a in range(0, len(texts), 256):
             said = []
@@ -243,9 +262,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 4000, parts: in
     docs = docs.select("doc_id", "text")
     rows, words, said = examples(docs, sample)
     seen, total = document_counts(docs, words)
-    toxic = np.array([r.toxic for r in rows], np.int64)
-    scale = (np.log((1 + total) / (1 + seen)) + 1) * relevance(said, toxic, len(words))
-    index = BlockMaxIndex([r.doc_id for r in rows], toxic, np.array([r.weight for r in rows], float), said, scale)
+    toxic = np.array([label for _, label, _ in rows], np.int64)
+    scale = (np.log((1 + total) / (1 + seen)) + 1) * relevance(said, toxic, len(seen))
+    index = BlockMaxIndex([i for i, _, _ in rows], toxic, np.array([w for _, _, w in rows], float), said, scale)
     return Model(words, index, k)
 
 
