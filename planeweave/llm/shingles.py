@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh64_intdigest(word, 42)
-        if len(self) >= 200_000:
+        if len(self) >= 20_000:  # in each task; more is no faster
             self.clear()
         self[word] = found
         return found
@@ -52,6 +53,14 @@ def set_print(s: np.ndarray) -> int:
     return int(np.array(xxhash.xxh64_intdigest(s.tobytes()), np.uint64).view(np.int64))
 
 
+def set_simhash(s: np.ndarray, chunk: int = 1 << 16) -> int:
+    """The set's SimHash as a signed long: a bit is 1 if over half of the shingles' hashes have it."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(s), chunk):
+        counts += np.unpackbits(s[i : i + chunk].astype(">i8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(s)).tobytes(), "big", signed=True)
+
+
 def prefix(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     """The shingles of which a set at similarity 0.8 shares one: the first ``n - ceil(0.8 n) + 1``, heavy ones put last."""
     if len(heavy):
@@ -130,16 +139,19 @@ def _heavy(texts: DataFrame, shingle: int, most: int, part: int = 16) -> tuple[n
 def _prints(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], shingle: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
         hashes, (often, parts) = WordHashes(), sent.value
-        for pdf in _slices(batches):
-            sets = [shingle_set(t, hashes, shingle) for t in pdf["text"]]
+        for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
+            sets = [shingle_set(t, hashes, shingle) for t in batch["text"].to_pylist()]
             fps, keys = [set_print(s) for s in sets], [prefix(s, often) for s in sets]
             at = [parts_of(k, fp, often, parts) for k, fp in zip(keys, fps)]
             hot = [_among(k, often)[1] if len(often) and len(k) else np.zeros(len(k), bool) for k in keys]
-            yield pdf[["doc_id", "text_hash"]].assign(fp=fps, n=[len(s) for s in sets], keys=keys, parts=[np.where(h, p, -1).astype(np.int32) for h, p in zip(hot, at)], bits=[parity(s) for s in sets])
+            at = [np.where(h, p, -1).astype(np.int32) for h, p in zip(hot, at)]
+            columns = [(fps, pa.int64()), ([len(s) for s in sets], pa.int64()), (keys, pa.list_(pa.int64())), (at, pa.list_(pa.int32())), ([parity(s) for s in sets], pa.binary()), ([set_simhash(s) for s in sets], pa.int64())]
+            columns = [batch["doc_id"], batch["text_hash"], *(pa.array(*c) for c in columns)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "n", "keys", "parts", "bits", "sim"])
 
-    return docs.mapInPandas(made, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, fp long, n long, keys array<long>, parts array<int>, bits binary")
+    return docs.mapInArrow(made, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, fp long, n long, keys array<long>, parts array<int>, bits binary, sim long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -168,6 +180,12 @@ def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(u, "a").join(v, "b").mapInPandas(near, "a long, b long")
 
 
+def _unlinked(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) that no link joins yet."""
+    of, to = labels.toDF("a", "of"), labels.toDF("b", "to")
+    return pairs.join(of, "a", "left").join(to, "b", "left").where("of is null or to is null or of <> to").select("a", "b")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, row: DataFrame, shingle: int) -> DataFrame:
     """(src, dst) of the pairs (a, b), a table, that are similar; shingle sets are made of their texts alone."""
 
@@ -255,7 +273,7 @@ def _across(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, block: i
     return pairs.unionByName(both.mapInPandas(compared, "a long, b long")).distinct()
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int | None = None, block: int = 256) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int | None = None, block: int = 256, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, text_hash, fp, group_fp.
 
     Texts link at a Jaccard similarity of 0.8 or more of their sets of five-word shingles (hashed to 64 bits), and
@@ -266,7 +284,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     about ``most`` sets, so no task gathers one. All of a part are compared with its middle one by size, and the middles of a
     bucket's parts with theirs; after that, those that no link joins yet are compared with all others of their bucket, in
     blocks, so a large group of near copies takes about one comparison each. No bucket is dropped. Texts without words,
-    null ones too, are copies of each other.
+    null ones too, are copies of each other. first makes, of (fp, sim) of all sets, sim their SimHash, pairs (a, b) that are
+    judged before all others; what those link is not compared again, and the result is the same without it.
     """
     own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), own.alias("text_hash"))
@@ -281,11 +300,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = F.when(F.col("parts") < 0, F.xxhash64("all")).otherwise(F.col("keys"))
     named = met.select(whole.alias("bucket"), F.greatest("parts", F.lit(-1)).alias("part"), "all").distinct()
     buckets = materialize(named.select("bucket", "part", F.col("all.n").alias("ns"), F.col("all.fp").alias("fps")), "buckets")
-    sketches = materialize(made.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "sketches")
+    sketches = materialize(made.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sim").alias("sim")), "sketches")
+    prints, sketches = sketches.select("fp", "sim"), sketches.select("fp", "n", "bits")
     half = F.floor(F.size("ns") / 2).cast("int")
     middles = buckets.where("part >= 0").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct(F.element_at("ns", half + 1).alias("n"), F.element_at("fps", half + 1).alias("fp")))).alias("all"))
     compared = buckets.select("ns", "fps").unionByName(middles.select(F.col("all.n").alias("ns"), F.col("all.fp").alias("fps")))
-    edges = _verified(materialize(_plausible(compared.mapInPandas(_to_middle, "a long, b long").distinct(), sketches), "pairs"), texts, row, shingle)
+    pairs = compared.mapInPandas(_to_middle, "a long, b long").distinct()
+    if first:
+        known = _verified(materialize(_plausible(first(prints).distinct(), sketches), "pairs"), texts, row, shingle)
+        pairs = _unlinked(pairs, connected_components(known))
+    edges = _verified(materialize(_plausible(pairs, sketches), "pairs"), texts, row, shingle)
+    edges = edges.unionByName(known) if first else edges
     labels = connected_components(edges)
     second = _verified(materialize(_across(buckets, labels, sketches, block), "pairs"), texts, row, shingle)
     if second.limit(1).count():

@@ -185,13 +185,25 @@ def op5_deletion_variant_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_prints(prints: DataFrame) -> DataFrame:
+    """(a, b) between rows (fp, sim), whose SimHashes sim links() joins: those of one SimHash with the least of them, and the
+    least of both SimHashes of each link."""
+    least = prints.groupBy("sim").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n"))
+    same = prints.join(least.where("n > 1"), "sim").where("fp <> least").select("least", "fp")
+    near = links(least.select(F.col("sim").alias("fp"))).join(least.select(F.col("sim").alias("src"), F.col("least").alias("u")), "src")
+    near = near.join(least.select(F.col("sim").alias("dst"), F.col("least").alias("v")), "dst").select("u", "v")
+    return same.union(near).toDF("u", "v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+
+
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the one of the smallest doc_id, rows that repeat counting as one.
 
-    Components are of texts at 0.8 or more of five-word shingle similarity (see near_copies). Such pairs differ in about
-    10 of 64 SimHash bits, too many for deletion variants, so fingerprints of three words and two bits are op5's alone.
+    Components are of texts at 0.8 or more of five-word shingle similarity. SimHashes of their shingles that deletion
+    variants link at two bits are judged first. Pairs at 0.8 differ in about 10 of 64 bits, too many for deletion variants,
+    so what SimHash has not joined meets in the exact join of near_copies, and no link is lost. Fingerprints of three words,
+    and components by them alone, are op5's.
     """
-    found = materialize(near_copies(docs).select("doc_id", "text_hash", "group_fp"), "near")
+    found = materialize(near_copies(docs, first=near_prints).select("doc_id", "text_hash", "group_fp"), "near")
     kept = found.groupBy("group_fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.text_hash").alias("k_hash"))
     kept = materialize(kept, "kept")
     own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())

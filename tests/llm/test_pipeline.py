@@ -69,6 +69,35 @@ def test_near_copies_against_brute_force(spark, most, monkeypatch):
         assert sorted(r.doc_id for r in simhash.dedup_stage(spark, docs, SF).collect()) == sorted({find(i) for i in range(len(texts))})
 
 
+def test_simhash_finds_near_copies(spark, monkeypatch):
+    def none(batches):
+        for pdf in batches:
+            yield pdf.iloc[:0, :0].assign(a=[], b=[]).astype("int64")
+
+    # without the exact join, SimHash has to find what is within two bits
+    monkeypatch.setattr(shingles, "_to_middle", none)
+    monkeypatch.setattr(shingles, "_across", lambda buckets, *_: buckets.selectExpr("0L a", "0L b").where("false"))
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(words, rng.integers(300, 900))) for _ in range(30)]
+    for t in list(texts):
+        for edits in (1, 1, 8):
+            w = t.split()
+            for at in rng.choice(len(w), edits, False):
+                w[at] = "edited"
+            texts.append(" ".join(w))
+    made = [shingles.shingle_set(t, shingles.WordHashes()) for t in texts]
+    sims = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s)) for s in made]
+    assert [shingles.set_simhash(s) % 2**64 for s in made] == sims
+    root = list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        if (sims[i] ^ sims[j]).bit_count() <= 2 and shingles.similar(made[i], made[j]):
+            root = [root[i] if r == root[j] else r for r in root] if root[i] < root[j] else [root[j] if r == root[i] else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.dedup_stage(spark, docs, SF).collect())
+    assert kept == sorted(set(root)) and 30 < len(kept) < 100
+
+
 def test_packed_ids_stay(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
