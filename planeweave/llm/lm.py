@@ -185,23 +185,26 @@ class LanguageModel:
 
     def expectations(self, row: np.ndarray, cls: np.ndarray, at: np.ndarray, weights: np.ndarray, seen: np.ndarray, expected: np.ndarray, chunk: int = 16384) -> None:
         """Adds how often each feature came with each class, and how often the model expects it."""
+        every, c = self.features(row, at), cls[at]
+        for t in range(4):
+            pairs, flat = every[t] * self.n_classes + c, seen[t].reshape(-1)
+            if len(flat) <= 16 * len(pairs):
+                flat += np.bincount(pairs, minlength=len(flat))
+            else:
+                pair, n = np.unique(pairs, return_counts=True)
+                flat[pair] += n
+        # rows are added as complex numbers, two classes at a time, which takes less than one by one
+        wide = np.float32 if self.n_classes % 2 else np.complex64
         for i in range(0, len(at), chunk):
-            p = at[i : i + chunk]
-            f, c = self.features(row, p), cls[p]
+            f = [x[i : i + chunk] for x in every]
             e = self.odds(f, weights)
-            e /= e.sum(1, keepdims=True)
+            e /= np.einsum("ij->i", e)[:, None]
             for t in range(4):
                 rows = f[t].astype(np.uint16) if self.rows <= 1 << 16 else f[t]  # sorted by radix
                 order = np.argsort(rows, kind="stable")
                 rows = rows[order]
                 first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-                expected[t][rows[first]] += np.add.reduceat(e.take(order, axis=0), first, axis=0)
-                pairs, flat = f[t] * self.n_classes + c, seen[t].reshape(-1)
-                if len(flat) <= 16 * chunk:
-                    flat += np.bincount(pairs, minlength=len(flat))
-                else:
-                    pair, n = np.unique(pairs, return_counts=True)
-                    flat[pair] += n
+                expected[t][rows[first]] += np.add.reduceat(e.take(order, axis=0).view(wide), first, axis=0).view(np.float32)
 
 
 def _in_blocks(batches: Iterator[pd.DataFrame], tokens: int = 200_000) -> Iterator[pd.DataFrame]:

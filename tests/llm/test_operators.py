@@ -277,6 +277,26 @@ def test_probabilities_add_up():
         assert math.isclose(total, 1, rel_tol=1e-5)
 
 
+@pytest.mark.parametrize("classes", [2, 3])
+@pytest.mark.parametrize("rows", [16, 4096])
+def test_expectations_against_brute_force(classes, rows):
+    rng = np.random.default_rng(rows + classes)
+    words = [b"w%d" % i for i in range(300)]
+    m = lm.LanguageModel(words, np.ones(300), {b"w0": 5.0, b"w1": 4.0}, np.ones((lm.BUCKETS, 2)), np.arange(lm.BUCKETS) % classes, rows)
+    m.weights = rng.normal(0, 1, m.weights.shape).astype(np.float32)
+    ids, row, cls, _, _ = m.encode([" ".join(f"w{i}" for i in rng.integers(0, 350, n)) for n in (0, 1, 400, 900)])
+    at = np.flatnonzero(ids != m.m)
+    want, got = np.zeros((2, 4, rows, m.n_classes)), np.zeros((2, 4, rows, m.n_classes), np.float32)
+    for p in at:
+        f = [int(x[0]) for x in m.features(row, np.array([p]))]
+        e = np.exp(m.bias + sum(m.weights[t, f[t]].astype(float) for t in range(4)))
+        for t in range(4):
+            want[0, t, f[t], cls[p]] += 1
+            want[1, t, f[t]] += e / e.sum()
+    m.expectations(row, cls, at, m.weights, got[0], got[1], chunk=256)
+    assert m.n_classes == 2 + classes and (got[0] == want[0]).all() and np.allclose(got[1], want[1], rtol=1e-4, atol=1e-6)
+
+
 @pytest.mark.parametrize("held", [0, 40])
 def test_scores_do_not_depend_on_what_is_held(spark, held):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).persist()
