@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planeweave.plans.storage import materialize
+from planeweave.plans.storage import give_back, materialize
 
 #: A-Z to a-z; letters, digits and bytes from 0x80 stay; all else parts words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
@@ -124,42 +124,72 @@ class BlockMaxIndex:
     """
 
     def __init__(self, ids: list, toxic: np.ndarray, weight: np.ndarray, said: list[tuple[np.ndarray, np.ndarray]], scale: np.ndarray, block: int = 64, common: int = 8):
-        self.scale, self.block = scale, block
-        heaviest = [int(t[self.unit(t, c)[1].argmax()]) if len(t) else -1 for t, c in said]
+        self.scale, self.block, self.common = scale, block, common
+        norm, heaviest = np.ones(len(ids)), np.full(len(ids), -1)
+        for i, (t, c) in enumerate(said):
+            if len(t):
+                w = self.plain(t, c)
+                norm[i] = np.sqrt((w * w).sum())
+                heaviest[i] = t[(w / norm[i]).argmax()]
         order = sorted(range(len(ids)), key=lambda i: (heaviest[i], ids[i]))
-        self.ids, self.toxic, self.weight = [ids[i] for i in order], toxic[order], weight[order]
-        self.n, self.blocks = len(ids), -(-len(ids) // block)
-        ends = np.cumsum([0, *(len(said[i][0]) for i in order)])
-        term, val = np.empty(ends[-1], np.int32), np.empty(ends[-1])
-        for a, b, i in zip(ends[:-1], ends[1:], order):
-            term[a:b], val[a:b] = self.unit(*said[i])
-        doc = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(ends))
+        self.ids, self.toxic, self.weight, self.norm = [ids[i] for i in order], toxic[order], weight[order], norm[order]
         self.said = [said[i] for i in order]
-        often = np.bincount(term, minlength=len(scale)) * common > self.n
+        ends = np.cumsum([0, *(len(t) for t, _ in self.said)])
+        most = max((int(c.max()) for _, c in said if len(c)), default=0)
+        term, count = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.min_scalar_type(most))
+        for a, b, (t, c) in zip(ends[:-1], ends[1:], self.said):
+            term[a:b], count[a:b] = t, c
+        doc = np.repeat(np.arange(len(ids), dtype=np.min_scalar_type(len(ids))), np.diff(ends))
+        by = np.argsort(term, kind="stable")
+        #: All that is sent: how many postings each term has, and their examples and counts.
+        self.lists = np.bincount(term, minlength=len(scale)).astype(np.int32), doc[by], count[by]
+        del term, doc, count, by
+        self.build()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k in ("scale", "block", "common", "ids", "toxic", "weight", "norm", "lists", "said")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.build()
+        self.lists = None
+
+    def build(self) -> None:
+        """Everything that search reads, from the lists."""
+        sizes, doc, count = self.lists
+        self.n, self.blocks = len(self.ids), -(-len(self.ids) // self.block)
+        term, doc, val = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), doc.astype(np.int32), count.astype(float)
+        np.log(val, out=val)
+        val += 1
+        val *= self.scale[term]
+        val /= self.norm[doc]
+        often = sizes.astype(np.int64) * self.common > self.n
         self.row = np.where(often, np.cumsum(often) - 1, -1)
-        self.matrix = np.zeros((int(often.sum()), self.blocks * block))
+        self.matrix = np.zeros((int(often.sum()), self.blocks * self.block))
         at = often[term]
         self.matrix[self.row[term[at]], doc[at]] = val[at]
-        by = np.flatnonzero(~at)
-        by = by[np.argsort(term[by], kind="stable")]
-        term, self.doc, self.val = term[by], doc[by], val[by]
-        del by, at, doc, val
-        blocks = self.doc // np.int32(block)
+        np.logical_not(at, out=at)
+        term, self.doc, self.val = term[at], doc[at], val[at]
+        del at, doc, val
+        blocks = self.doc // np.int32(self.block)
         first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (blocks[1:] != blocks[:-1])]) if len(term) else np.empty(0, np.int64)
         self.of_block = blocks[first]
         self.top = np.maximum.reduceat(self.val, first) if len(first) else np.empty(0)
         #: Where the postings of each term and block begin, and where the last ones end.
         self.start = np.r_[first, len(term)].astype(np.int32 if len(term) < 2**31 else np.int64)
         term = term[first]
-        self.entry = np.searchsorted(term, np.arange(len(scale) + 1))
+        self.entry = np.searchsorted(term, np.arange(len(self.scale) + 1))
 
     @property
     def unit_of(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """The examples' unit vectors, made anew: the index itself keeps words and counts alone."""
         return [self.unit(*v) for v in self.said]
 
+    def plain(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return (1 + np.log(counts)) * self.scale[terms]
+
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(counts)) * self.scale[terms]
+        w = self.plain(terms, counts)
         return terms, w / np.sqrt((w * w).sum()) if len(terms) else w
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, but: np.ndarray | None = None, first: int = 8) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -279,6 +309,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     labels without a document, or no labels at all, do no harm (score 0); an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
+    give_back()
     rows = docs.select("doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
 
@@ -299,6 +330,7 @@ def op8_blockmax_toxicity(spark, sf_dir: str) -> DataFrame:
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose score is under 0.5."""
     sent = spark.sparkContext.broadcast(fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    give_back()
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:

@@ -1,6 +1,10 @@
 """The ten operators on small tables, against brute force, round trips or held-out labels."""
 
 import math
+import os
+import pickle
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -191,6 +195,36 @@ def test_block_max_search_is_exact(common):
     assert len(index.search([(np.empty(0, np.int64), np.empty(0))], 5)[0][0]) == 0
 
 
+def test_pickled_index_is_small_and_the_same():
+    rng = np.random.default_rng(4)
+    said = [(rng.choice(2000, n, False), rng.integers(1, 300, n)) for n in [0, *rng.integers(1, 400, 200)]]
+    index = toxicity.BlockMaxIndex(list(range(201)), np.zeros(201, int), np.ones(201), said, rng.random(2000) + 1)
+    index.said = None
+    sent = pickle.dumps(index, 5)
+    back = pickle.loads(sent)
+    assert len(sent) < index.val.nbytes
+    for (c, e), (d, f) in zip(*(x.search([index.unit(*v) for v in said], 16) for x in (index, back))):
+        assert (c == d).all() and (e == f).all()
+
+
+def test_freed_memory_goes_back():
+    code = """
+import re
+from planeweave.plans.storage import give_back
+held = lambda: sum(map(int, re.findall(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+give_back()
+least = held()
+parts = [bytearray(100_000) for _ in range(1000)]
+last = bytearray(100_000)
+del parts
+freed = held()
+give_back()
+print(least, freed, held())
+"""
+    least, freed, after = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__)))).stdout.split())
+    assert freed > least + 50 and after < least + 20
+
+
 def test_chat_round_trip_and_layouts(spark):
     texts = [None, "", "\\", "\\h", "###", "</turn>", "\\### Assistant: </turn> ok\\", "a\n### user: b</turn>\n", "\\\\t"]
     rows = [(c, t, r, x) for c, r in enumerate(["user", "assistant", None, "we:ird###"]) for t, x in enumerate(texts)]
