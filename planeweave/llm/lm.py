@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from planeweave.plans.storage import materialize
 
 BUCKETS = 512  # of word endings
 END = b""  # no word is empty
+CLOSING = b".,;:!?)\"'"
 EDGE = 3  # places before a text's first word
 BLOCK = 64  # rows of weights that are summed together
 
@@ -25,22 +27,36 @@ def split_words(text: str | None) -> list[bytes]:
     return [*((text or "").encode().lower().split()), END]
 
 
+def words_of_all(texts) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """split_words of many texts at once, in Arrow: all tokens but the ENDs, which of all places are not an END's, and how many each text has."""
+    if isinstance(texts, pa.Array):  # taken, as Arrow lower-cases slices wrongly
+        made = texts.take(pa.array(np.arange(len(texts)))).fill_null("").cast(pa.large_string())
+    else:
+        made = pa.array([t or "" for t in texts], pa.large_string())
+    made = pc.ascii_split_whitespace(pc.ascii_lower(made))
+    flat, ends = made.flatten(), made.offsets.to_numpy().astype(np.int64)
+    word = pc.binary_length(flat).to_numpy() > 0
+    if not word.all():
+        flat, ends = flat.filter(pa.array(word)), np.r_[0, np.cumsum(word)][ends]
+    sizes = np.diff(ends) + 1
+    inner = np.ones(sizes.sum(), bool)
+    inner[sizes.cumsum() - 1] = False
+    return flat.cast(pa.large_binary()), inner, sizes
+
+
+def endings(words: pa.Array) -> np.ndarray:
+    """ending of each word."""
+    tails = pc.binary_slice(pc.ascii_rtrim(words.cast(pa.large_string()), CLOSING.decode()).cast(pa.large_binary()), -3).dictionary_encode()
+    return np.array([zlib.crc32(t) % BUCKETS for t in tails.dictionary.to_pylist()], np.int64)[tails.indices.to_numpy()]
+
+
 def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(parts)) == part
 
 
 def ending(word: bytes) -> int:
     """Bucket of a word's last three bytes, closing punctuation aside."""
-    return zlib.crc32(word.rstrip(b".,;:!?)\"'")[-3:]) % BUCKETS
-
-
-class Endings(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = ending(word)
-        if len(self) >= 200_000:
-            self.clear()
-        self[word] = found
-        return found
+    return zlib.crc32(word.rstrip(CLOSING)[-3:]) % BUCKETS
 
 
 class Hashed(dict):
@@ -59,34 +75,44 @@ class Hashed(dict):
 def count_tokens(training: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(token, bucket, c) over all training texts, and (code, n): how often bucket code // BUCKETS stands before code % BUCKETS."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ends, tokens, pairs = Endings(), Counter(), np.zeros(BUCKETS * BUCKETS, np.int64)
-        codes, waiting = [], 0
-
-        def flush() -> pd.DataFrame:
-            out = pd.DataFrame({"token": list(tokens), "code": np.fromiter(map(ending, tokens), np.int32, len(tokens)), "n": np.fromiter(tokens.values(), np.int64, len(tokens))})
-            tokens.clear()
-            return out
-
-        for pdf in batches:
-            for text in pdf["text"]:
-                words = split_words(text)
-                tokens.update(words)
-                b = np.fromiter(map(ends.__getitem__, words), np.int64, len(words))
-                codes.append(b[:-1] * BUCKETS + b[1:])
-                waiting += len(b)
-                if waiting > 500_000:
-                    pairs += np.bincount(np.concatenate(codes), minlength=len(pairs))
-                    codes, waiting = [], 0
-                if len(tokens) > 400_000:
-                    yield flush()
-        yield flush()
-        if codes:
-            pairs += np.bincount(np.concatenate(codes), minlength=len(pairs))
+    schema = pa.schema([("token", pa.binary()), ("code", pa.int32()), ("n", pa.int64())])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, pairs, texts, edge = [], np.zeros(BUCKETS * BUCKETS, np.int64), 0, ending(END)
+
+        def added() -> list[pa.Table]:
+            return [pa.concat_tables(held).group_by("token").aggregate([("n", "sum")]).rename_columns(["token", "n"]).combine_chunks()] if held else []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for t in added():
+                token = t["token"].combine_chunks()
+                codes = pa.array(endings(token).astype(np.int32))
+                yield from pa.table([token.cast(pa.binary()), codes, t["n"]], schema=schema).to_batches(max_chunksize=10_000)
+            held.clear()
+
+        for batch in batches:
+            text = batch.column(0)
+            block = np.cumsum(pc.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // 2_000_000
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(text)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                words, inner, sizes = words_of_all(text.slice(a, b - a))
+                texts += len(sizes)
+                of = np.full(len(inner), edge)
+                of[inner] = endings(words)
+                pairs += np.bincount((of[:-1] * BUCKETS + of[1:])[inner[:-1]], minlength=len(pairs))
+                found = words.value_counts()
+                held.append(pa.table([found.field("values"), found.field("counts")], ["token", "n"]))
+                if sum(map(len, held)) > 400_000:
+                    held[:] = added()
+                    if len(held[0]) > 200_000:
+                        yield from flush()
+        yield from flush()
+        if texts:
+            yield pa.record_batch([pa.array([END], pa.binary()), pa.array([edge], pa.int32()), pa.array([texts], pa.int64())], schema=schema)
         at = np.flatnonzero(pairs)
-        yield pd.DataFrame({"token": [None] * len(at), "code": at.astype(np.int32), "n": pairs[at]})
+        yield pa.record_batch([pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(pairs[at])], schema=schema)
 
-    part = training.select("text").mapInPandas(counted, "token binary, code int, n long")
+    part = training.select("text").mapInArrow(counted, "token binary, code int, n long")
     both = materialize(part.groupBy("token", "code").agg(F.sum("n").alias("n")), "tokens")
     return both.where("token is not null").select("token", F.col("code").alias("bucket"), F.col("n").alias("c")), both.where("token is null").select("code", "n")
 
@@ -124,7 +150,7 @@ class LanguageModel:
     def __init__(self, tokens: list[bytes], counts: np.ndarray, singles: dict[bytes, float], sizes: np.ndarray, classes_of: np.ndarray, rows: int):
         k = int(classes_of.max()) + 1
         self.m, self.rows, self.n_classes, self.singles, self.classes_of = len(tokens), rows, len(singles) + k, {t: i for i, t in enumerate(singles)}, classes_of
-        self.ids, self.hashed = {t: i for i, t in enumerate(tokens)}, None
+        self.known, self.end, self.hashed = pa.array(tokens, pa.large_binary()), tokens.index(END) if END in tokens else -1, None
         mass = np.array([np.bincount(classes_of, sizes[:, c], k) for c in (0, 1)])
         self.share = np.concatenate([np.zeros(len(singles)), -np.log10(mass.sum(0) + 1)])
         self.cls = np.array([self.class_of(t) for t in tokens] + [0], np.int64)
@@ -141,21 +167,25 @@ class LanguageModel:
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
         """Of all tokens, with EDGE places before each text: id (-1: not held; m: such a place), row, class; where each text begins, and
         its tokens that are not held."""
-        get, edge, parts, starts, rare, at = self.ids.get, np.full(EDGE, self.m), [np.empty(0, np.int64)], [], [], 0
-        for text in texts:
-            words = split_words(text)
-            x = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-            parts += edge, x
-            starts.append(at)
-            rare.append([words[i] for i in np.flatnonzero(x < 0).tolist()])
-            at += EDGE + len(x)
-        ids = np.concatenate(parts)
+        words, inner, sizes = words_of_all(texts)
+        found = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy()
+        starts = np.cumsum(sizes + EDGE) - sizes - EDGE
+        at = np.arange(len(inner)) + np.repeat(EDGE * np.arange(1, len(sizes) + 1), sizes)
+        ids = np.full(len(inner) + EDGE * len(sizes), self.m)
+        ids[at[inner]], ids[at[~inner]] = found, self.end
         row, cls = self.row[ids], self.cls[ids]
         odd = np.flatnonzero(ids < 0)
-        if len(odd):
-            self.hashed = self.hashed if self.hashed is not None else Hashed(self)
-            row[odd], cls[odd] = np.array([self.hashed[w] for r in rare for w in r], np.int64).T
-        return ids, row, cls, np.array(starts, np.int64), rare
+        if not len(odd):
+            return ids, row, cls, starts, [[] for _ in sizes]
+        self.hashed = self.hashed if self.hashed is not None else Hashed(self)
+        made = words.filter(pa.array(found < 0)).dictionary_encode()
+        new = [*made.dictionary.to_pylist(), END]
+        number = np.full(len(ids), len(new) - 1)
+        number[at[inner][found < 0]] = made.indices.to_numpy()
+        number = number[odd]
+        row[odd], cls[odd] = np.array([self.hashed[w] for w in new], np.int64)[number].T
+        rare, cuts = [new[i] for i in number.tolist()], np.searchsorted(odd, np.r_[starts, len(ids)]).tolist()
+        return ids, row, cls, starts, [rare[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
     def features(self, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         a, b, c = row[at - 1], row[at - 2], row[at - 3]

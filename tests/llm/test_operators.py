@@ -10,6 +10,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,6 +293,26 @@ def test_language_model(spark, odd):
     assert all(r.score <= 0 for r in rows) and sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_words_of_many_texts_at_once():
+    rng = np.random.default_rng(6)
+    odd = [" a", "b ", "\t\n\x0b\x0c\r", "a\x1cB\x1d\x1e\x1f\x85c\xa0d\u3000e\u2028f", "\x00 \x00", "İSTANBUL ÀÉ ß K", "x" * 70_000, "a  A\ta"]
+    texts = [None, "", *odd, *("".join(rng.choice(list("aAbÉ \t\n\u3000"), n)) for n in rng.integers(0, 60, 200)), ""]
+    m = lm.LanguageModel([b"a", b"b"], np.ones(2), {b"a": 5.0}, np.ones((lm.BUCKETS, 2)), np.arange(lm.BUCKETS) % 3, 64)
+    held = {b"a": 0, b"b": 1}
+    assert lm.words_of_all(pa.array(texts).slice(9, 150))[0].to_pylist() == [w for t in texts[9:159] for w in lm.split_words(t)[:-1]]
+    for some in (texts, texts[:1], ["a b"], []):
+        want = [lm.split_words(t) for t in some]
+        words, inner, sizes = lm.words_of_all(some)
+        assert words.to_pylist() == [w for x in want for w in x[:-1]] and sizes.tolist() == list(map(len, want))
+        assert inner.tolist() == [w != lm.END for x in want for w in x] and lm.endings(words).tolist() == [lm.ending(w) for x in want for w in x[:-1]]
+        ids, row, cls, starts, rare = m.encode(some)
+        flat = [w for x in want for w in (*[None] * lm.EDGE, *x)]
+        assert ids.tolist() == [m.m if w is None else held.get(w, -1) for w in flat]
+        assert row.tolist() == [m.rows - 1 if w is None else zlib.crc32(w) % (m.rows - 1) for w in flat]
+        assert cls.tolist() == [0 if w is None else m.class_of(w) for w in flat]
+        assert starts.tolist() == np.cumsum([0, *(len(x) + lm.EDGE for x in want)])[:-1].tolist() and rare == [[w for w in x if w not in held] for x in want]
+
+
 def test_probabilities_add_up():
     """Over all training tokens and one unseen token for each class of endings, after any tokens."""
     tokens, counts = [b"a", b"b", b"", b"cab", b"zzz", b"xyz"], np.array([5.0, 4, 3, 2, 2, 1])
