@@ -8,10 +8,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from planeweave.plans.storage import giving_back
+
 _AWKWARD = re.compile(r"\s | \s")
 _MADE: dict = {}
 
@@ -107,31 +109,32 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     kind = dict(docs.select(docs[id_col].alias("doc_id")).dtypes)["doc_id"]
     tail = np.array([end_id], "<u4").tobytes()
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
         encode = id_encoder(tokenizer)
         base, held_id, held, size = TaskContext.get().partitionId() << 36, [], [], 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal base
             pieces, n = place([len(x) // 4 for x in held], width, linear, quadratic)
             cut = [memoryview(held[d])[4 * a : 4 * (a + k)] for d, a, k, _, _ in pieces]
-            out = pd.DataFrame({
-                "doc_id": pd.Series([held_id[x[0]] for x in pieces], dtype=object),
+            numbers = {
                 "start": [x[1] for x in pieces],
                 "length": [x[2] for x in pieces],
                 "ids_crc32": [zlib.crc32(c) for c in cut],
                 "doc_tokens": [len(held[x[0]]) // 4 for x in pieces],
                 "sequence_id": [base + x[3] for x in pieces],
                 "offset": [x[4] for x in pieces],
-                "ids": [bytes(c) for c in cut],
-            })
+            }
+            columns = [pa.array([held_id[x[0]] for x in pieces], of), *(pa.array(v, pa.int64()) for v in numbers.values()), pa.array([bytes(c) for c in cut], pa.binary())]
+            out = pa.RecordBatch.from_arrays(columns, ["doc_id", *numbers, "ids"])
             base += n
             held_id.clear()
             held.clear()
             return out
 
-        for pdf in batches:
-            for i, text in zip(pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None), pdf["text"]):
+        for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
+            of = batch["doc_id"].type
+            for i, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 ids = (encode(text) if isinstance(text, str) else b"") + tail
                 held_id.append(i)
                 held.append(ids)
@@ -143,7 +146,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             yield flush()
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInPandas(packed, schema)
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(giving_back(packed), schema)
 
 
 def op7_cost_balanced_packing(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planeweave.operators.graph import connected_components
-from planeweave.plans.storage import materialize
+from planeweave.plans.storage import giving_back, materialize
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -130,7 +130,7 @@ def _heavy(texts: DataFrame, shingle: int, most: int, part: int = 16) -> tuple[n
         for pdf in _slices(batches):
             yield pd.DataFrame({"key": np.concatenate([np.empty(0, np.int64), *(shingle_set(t, hashes, shingle) for t in pdf["text"])])})
 
-    some = texts.where(F.pmod("text_hash", F.lit(part)) == 0).select("text").mapInPandas(made, "key long")
+    some = texts.where(F.pmod("text_hash", F.lit(part)) == 0).select("text").mapInPandas(giving_back(made), "key long")
     often = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most / part).collect()
     often.sort(key=lambda r: r.key)
     return np.array([r.key for r in often], np.int64), np.array([-(-r.n * part // most) for r in often], np.int64)
@@ -151,7 +151,7 @@ def _prints(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], shingle: int)
             columns = [batch["doc_id"], batch["text_hash"], *(pa.array(*c) for c in columns)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "n", "keys", "parts", "bits", "sim"])
 
-    return docs.mapInArrow(made, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, fp long, n long, keys array<long>, parts array<int>, bits binary, sim long")
+    return docs.mapInArrow(giving_back(made), f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, fp long, n long, keys array<long>, parts array<int>, bits binary, sim long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     named = wanted.select("fp", "row.*").toDF("fp", "w_id", "w_hash")
     of = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash"))
-    return docs.join(named, of).select("fp", "text").mapInPandas(made, "fp long, shingles binary").dropDuplicates(["fp"])
+    return docs.join(named, of).select("fp", "text").mapInPandas(giving_back(made), "fp long, shingles binary").dropDuplicates(["fp"])
 
 
 def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             yield pdf.loc[may_be_similar((pdf["m"] + pdf["n"]).to_numpy(), bits), ["a", "b"]]
 
     u, v = sketches.toDF("a", "m", "x"), sketches.toDF("b", "n", "y")
-    return pairs.join(u, "a").join(v, "b").mapInPandas(near, "a long, b long")
+    return pairs.join(u, "a").join(v, "b").mapInPandas(giving_back(near), "a long, b long")
 
 
 def _unlinked(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, row: DataFrame, shingle: int)
     sets = materialize(_sets(texts, wanted, shingle), "sets")
     x = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
-    return materialize(pairs.join(x, "a").join(y, "b").mapInPandas(judged, "src long, dst long"), "links")
+    return materialize(pairs.join(x, "a").join(y, "b").mapInPandas(giving_back(judged), "src long, dst long"), "links")
 
 
 def _to_middle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,7 +252,7 @@ def _across(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, block: i
     of = by.where("k > k_main and k > 2").select("bucket", "k", "main", F.ceil(F.col("k_main") / block).alias("mains"), F.ceil((F.col("k") - F.col("k_main")) / block).alias("others"))
     rows = materialize(known.join(of, "bucket"), "open")
     few = rows.where(F.col("k") <= small).groupBy("bucket").agg(F.collect_list(F.struct("n", "fp", "c")).alias("all"))
-    pairs = _plausible(few.select(F.col("all.n").alias("ns"), F.col("all.fp").alias("fps"), F.col("all.c").alias("cs")).mapInPandas(_within, "a long, b long").distinct(), sketches)
+    pairs = _plausible(few.select(F.col("all.n").alias("ns"), F.col("all.fp").alias("fps"), F.col("all.c").alias("cs")).mapInPandas(giving_back(_within), "a long, b long").distinct(), sketches)
     rows = rows.where(F.col("k") > small).join(sketches.select("fp", "bits"), "fp").withColumn("is_main", F.col("c") == F.col("main"))
     at = F.pmod(F.xxhash64(F.lit(5), "fp"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others")))
     made = rows.withColumn("at", at).groupBy("bucket", "is_main", "at").agg(F.first("mains").alias("mains"), F.first("others").alias("others"), F.collect_list(F.struct("n", "fp", "c", "bits")).alias("all"))
@@ -270,7 +270,7 @@ def _across(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, block: i
                 yield pd.DataFrame({"a": a, "b": b})
 
     both = x.join(made.drop("mains", "others"), ["bucket", "is_main", "at"]).drop("bucket", "is_main", "at")
-    return pairs.unionByName(both.mapInPandas(compared, "a long, b long")).distinct()
+    return pairs.unionByName(both.mapInPandas(giving_back(compared), "a long, b long")).distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int | None = None, block: int = 256, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -305,7 +305,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     half = F.floor(F.size("ns") / 2).cast("int")
     middles = buckets.where("part >= 0").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct(F.element_at("ns", half + 1).alias("n"), F.element_at("fps", half + 1).alias("fp")))).alias("all"))
     compared = buckets.select("ns", "fps").unionByName(middles.select(F.col("all.n").alias("ns"), F.col("all.fp").alias("fps")))
-    pairs = compared.mapInPandas(_to_middle, "a long, b long").distinct()
+    pairs = compared.mapInPandas(giving_back(_to_middle), "a long, b long").distinct()
     if first:
         known = _verified(materialize(_plausible(first(prints).distinct(), sketches), "pairs"), texts, row, shingle)
         pairs = _unlinked(pairs, connected_components(known))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from planeweave.llm.shingles import near_copies
 from planeweave.operators.graph import connected_components
-from planeweave.plans.storage import materialize
+from planeweave.plans.storage import giving_back, materialize
 
 LOW = 0xFFFFFFFF
 
@@ -153,7 +153,7 @@ def links(distinct: DataFrame, most: int = 512) -> DataFrame:
     upper, lower = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(LOW))
     keys = [upper.bitwiseAND(F.lit(LOW ^ (1 << i))) + F.lit(i << 32) for i in range(32)] + [lower + F.lit(32 << 32)]
     variants = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    found = materialize(variants.mapInPandas(lambda it: scan_buckets(it, most), "kind int, a long, b long"), "links")
+    found = materialize(variants.mapInPandas(giving_back(lambda it: scan_buckets(it, most)), "kind int, a long, b long"), "links")
     edges = found.where("kind = 0").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     large = found.where("kind = 1")
     if large.limit(1).count():

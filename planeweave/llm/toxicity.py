@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planeweave.plans.storage import give_back, materialize
+from planeweave.plans.storage import give_back, giving_back, materialize
 
 #: A-Z to a-z; letters, digits and bytes from 0x80 stay; all else parts words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
@@ -55,7 +55,7 @@ def examples(docs: DataFrame, sample: DataFrame) -> tuple[list, bytes, list[tupl
             yield pdf[["doc_id", "toxic", "weight"]].assign(words=[b" ".join(c) for c in said], counts=[np.fromiter(c.values(), np.int32, len(c)).tobytes() for c in said])
 
     texts = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic", "weight").agg(F.min("text").alias("text"))
-    rows = texts.mapInPandas(counted, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, weight double, words binary, counts binary").collect()
+    rows = texts.mapInPandas(giving_back(counted), f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, weight double, words binary, counts binary").collect()
     return _numbered(rows)
 
 
@@ -85,7 +85,7 @@ def document_counts(docs: DataFrame, words: bytes) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(n)
         yield pd.DataFrame({"term": np.r_[-1, at], "n": np.r_[total, n[at]]})
 
-    sums = docs.select("text").mapInPandas(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    sums = docs.select("text").mapInPandas(giving_back(counted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = sums.toArrow()
     term, n = found["term"].to_numpy(), found["n"].to_numpy()
     out, known = np.zeros(len(words.split())), term >= 0
@@ -318,7 +318,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
             found = list(sent.value.score(pdf["text"]))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": [s for s, _ in found], "evidence": [e for _, e in found]})
 
-    out = rows.mapInPandas(scored, f"doc_id {kind}, score double, evidence array<{kind}>")
+    out = rows.mapInPandas(giving_back(scored), f"doc_id {kind}, score double, evidence array<{kind}>")
     return out.select("doc_id", (~trains(F.col("doc_id"), how.get("parts", 5))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
@@ -333,7 +333,7 @@ def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     give_back()
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series([s for s, _ in sent.value.score(text)], dtype=float)
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from giving_back(lambda all_: (pd.Series([s for s, _ in sent.value.score(text)], dtype=float) for text in all_))(texts)
 
     return docs.where(score("text") < 0.5)

@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,25 @@ def discard(*tables: DataFrame) -> None:
 def give_back() -> None:
     """Hands memory that this process has freed back to the system, where the C library can; else it would stay the driver's."""
     gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    trim()
+
+
+def trim() -> None:
+    found = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if found:
+        found(0)
+
+
+def giving_back(made: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """made, a function over batches, whose worker trims its memory before and after.
+
+    Workers live on from task to task and stage to stage: what an earlier task has freed, such as a model that was sent, stays
+    theirs beside all that the next task needs.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        trim()
+        yield from made(batches)
+        trim()
+
+    return run

@@ -169,6 +169,12 @@ def test_packing_round_trip(spark, odd):
         assert total <= 1024 and (total & (total - 1)) == 0
 
 
+def test_packing_keeps_long_ids_beside_null_ones(spark):
+    rows = [(2**60 + 1, "a"), (None, "b"), (-(2**60) - 1, None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id for r in got} == {i for i, _ in rows}
+
+
 def test_toxicity_held_out(spark, odd):
     read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
     labels = {r.doc_id: r.toxic for r in read("labels").collect()}

@@ -1,10 +1,13 @@
+import ctypes
+import os
 from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from planeweave.llm import shingles, simhash
+from planeweave.llm import packing, shingles, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,3 +105,28 @@ def test_packed_ids_stay(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert rows and all(len(r.ids) == 4 * r.length for r in rows)
+
+
+NONE = np.empty(0, np.int64), np.empty(0, np.int64)
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="the C library can't give memory back")
+@pytest.mark.parametrize("stage", [packing.pack, lambda docs: shingles._prints(docs.select("doc_id", "text", F.lit(0).alias("text_hash")), NONE, 5)], ids=["packing", "near copies"])
+def test_workers_give_back_what_an_earlier_task_freed(spark, stage, monkeypatch):
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+    docs, made = spark.createDataFrame([(1, "a")], "doc_id long, text string"), []
+    for name in ("mapInPandas", "mapInArrow"):
+        monkeypatch.setattr(type(docs), name, lambda self, f, schema: made.append(f) or self)
+    stage(docs)
+    monkeypatch.undo()
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("Here", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    list(made[0](iter([])))
+    before = held()
+    hoard = [bytes(1000) for _ in range(200_000)]
+    hoard[:] = hoard[::100]  # what stays keeps the rest from being returned by itself
+    freed = held()
+    list(made[0](iter([])))
+    assert freed - before > 100 and held() - before < 50 and len(hoard) == 2000
