@@ -14,29 +14,37 @@ from planeweave.plans.storage import materialize
 
 EXACT = 2.0**53
 LEAST, MOST = -(2**63), 2**63 - 1
+#: Products of components in one matrix product: a few milliseconds and megabytes.
+DIRECT = 2**24
 
 
 class CoverTree:
     """Nodes over rows of x: centre (a row), covering radius, children or rows.
 
     The children of a node are centred on rows over radius / base apart that cover it within radius / base, the node's own
-    centre among them. A node stays a leaf if it is small, or if covering it would take over a quarter of its rows.
+    centre among them. A node stays a leaf if it is small, or if covering it would take over twice the root of its rows:
+    finding so many centres costs more than the products that the children could spare.
     """
 
     def __init__(self, x: np.ndarray, base: float = 1.3, leaf: int = 64):
         self.x, self.nodes = x, []
+        self.square = (x * x).sum(1) if np.abs(x).max(initial=0) < (EXACT / max(1, x.shape[1])) ** 0.5 / 2 else None
         self.root = self._grow(np.arange(len(x)), 0, base, leaf)
 
     def _grow(self, rows: np.ndarray, centre: int, base: float, leaf: int) -> int:
-        x = self.x[rows]
-        far = np.sqrt(((x - self.x[rows[centre]]) ** 2).sum(1))
+        x, square = self.x[rows], None if self.square is None else self.square[rows]
+
+        def away(c: int) -> np.ndarray:
+            return np.sqrt(((x - x[c]) ** 2).sum(1) if square is None else square - 2 * (x @ x[c]) + square[c])  # exact whole numbers
+
+        far = away(centre)
         node, radius, children = len(self.nodes), float(far.max()), []
         self.nodes.append(None)
         if len(rows) > leaf and 0 < radius < np.inf:
             centres, own = [centre], np.zeros(len(rows), np.int64)
-            while far.max() > radius / base and len(centres) <= len(rows) // 4:
+            while far.max() > radius / base and len(centres) <= 2 * len(rows) ** 0.5:
                 c = int(far.argmax())
-                d = np.sqrt(((x - x[c]) ** 2).sum(1))
+                d = away(c)
                 own[d < far] = len(centres)
                 far = np.minimum(far, d)
                 centres.append(c)
@@ -54,16 +62,34 @@ class TopK:
 
     def __init__(self, ids: np.ndarray, floor: np.ndarray, k: int):
         self.ids, self.k, self.worst = ids, k, floor.astype(float).copy()
-        self.best: list[list[tuple]] = [[] for _ in ids]
+        self.held = np.zeros(len(ids), np.int64)
+        self.scores, self.best = np.zeros((len(ids), k), np.int64), np.zeros((len(ids), k), np.int64)
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        for q, s in zip(rows, scores):
-            for j in np.flatnonzero(s >= self.worst[q]):
-                if ids[j] != self.ids[q]:
-                    self.best[q].append((-s[j], ids[j]))
-            if len(self.best[q]) > self.k:
-                self.best[q] = sorted(self.best[q])[: self.k]
-                self.worst[q] = max(self.worst[q], float(-self.best[q][-1][0]))
+        at, col = np.nonzero(scores >= self.worst[rows][:, None])
+        other = ids[col] != self.ids[rows[at]]
+        at, col = at[other], col[other]
+        if not len(at):
+            return
+        seen = rows[np.unique(at)]
+        old, place = np.nonzero(np.arange(self.k) < self.held[seen][:, None])
+        q = np.concatenate([rows[at], seen[old]])
+        s = np.concatenate([scores[at, col].astype(np.int64), self.scores[seen[old], place]])
+        i = np.concatenate([ids[col], self.best[seen[old], place]])
+        order = np.lexsort((i, ~s, q))  # ~s: -s may not fit
+        q, s, i = q[order], s[order], i[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        first = rank < self.k
+        q, s, i, rank = q[first], s[first], i[first], rank[first]
+        self.scores[q, rank], self.best[q, rank] = s, i
+        np.maximum.at(self.held, q, rank + 1)
+        full = rank == self.k - 1
+        self.worst[q[full]] = np.maximum(self.worst[q[full]], s[full].astype(float))
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The query's id, the row's id and the score of all that are held."""
+        q, place = np.nonzero(np.arange(self.k) < self.held[:, None])
+        return self.ids[q], self.best[q, place], self.scores[q, place]
 
 
 def search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> TopK:
@@ -71,11 +97,23 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, data:
 
     With centres p, q and radii r, s, none exceeds ``p.q + r|q| + s|p| + rs``. Components are whole numbers, so scores are
     exact in doubles while they stay under 2**53, and are summed in Python's integers, up to the ends of 64 bits, otherwise.
+    A pair of up to ``DIRECT`` products of components is multiplied at once, as walking on would cost more than it can spare.
     """
     top = TopK(query_ids, floor, k)
     a, b = CoverTree(queries), CoverTree(data)
     large = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(1, queries.shape[1]) >= EXACT
 
+    width = max(16, queries.shape[1])
+
+    def multiply(rows: np.ndarray, others: np.ndarray) -> None:
+        d, step = data[others], max(1, DIRECT // (width * len(others)))
+        for part in (rows[i : i + step] for i in range(0, len(rows), step)):
+            if large:
+                scores = np.array([[max(LEAST, min(MOST, sum(int(s) * int(t) for s, t in zip(u, v)))) for v in d] for u in queries[part]], np.int64)
+            else:
+                scores = queries[part] @ d.T
+            top.offer(part, scores, ids[others])
+
     def bound(m: tuple, n: tuple) -> float:
         return float(m[0] @ n[0]) + m[2] * n[1] + n[2] * m[1] + m[2] * n[2]
 
@@ -84,13 +122,11 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, data:
         i, j = stack.pop()
         m, n = a.nodes[i], b.nodes[j]
         with np.errstate(over="ignore", invalid="ignore"):
-            most = bound(m, n)
+            most = max(bound(m, n), float(LEAST))  # as scores below are LEAST
         if most + 1e-9 * abs(most) + 1e-6 < top.worst[m[4]].min():
             continue
-        if not m[3] and not n[3]:
-            q, d = queries[m[4]], data[n[4]]
-            scores = [[max(LEAST, min(MOST, sum(int(s) * int(t) for s, t in zip(u, v)))) for v in d] for u in q] if large else q @ d.T
-            top.offer(m[4], np.array(scores, object) if large else scores, ids[n[4]])
+        if not m[3] and not n[3] or not large and width * len(m[4]) * len(n[4]) <= DIRECT:
+            multiply(m[4], n[4])
         elif n[3] and (not m[3] or n[2] >= m[2]):
             stack += [(i, c) for c in sorted(n[3], key=lambda c: bound(m, b.nodes[c]))]
         else:
@@ -98,6 +134,18 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, data:
     return top
 
 
+def blocks_of(counts: dict, block: int) -> dict:
+    """The first of the blocks of each key and how many they are: keys in order share one while it has room."""
+    found, last, room = {}, -1, 0
+    for key, n in sorted(counts.items()):
+        parts = max(1, -(-n // block))
+        new = parts > 1 or n > room
+        found[key] = (last + new, parts)
+        room = (0 if parts > 1 else block - n) if new else room - n
+        last += parts if new else 0
+    return found
+
+
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: float = 64.0, every: int = 20, block: int = 4096, most_centres: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product for each row whose id is divisible by ``every``.
 
@@ -110,9 +158,11 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     Of equal vectors only the k + 1 smallest ids can be results, so the rest of a group of copies is left before any
     search. Vectors go to the nearest of at most most_centres centres (a bounded sample by hash, which only shapes the
-    cells) and, by a hash, to blocks of about ``block``. Each query first searches its own cell's blocks, and its kth
-    score there is what all others must reach: it is sent on to those cells alone whose centre and radius allow that, and
-    a cell's vectors go only to query blocks with such a query (then see search). No task holds more than a block of each.
+    cells) and, by a hash, to blocks of about ``block`` in each cell that holds more. Each query first searches its own
+    cell's blocks, and its kth score there is what all others must reach: it is sent on to those cells alone whose centre
+    and radius allow that, and a cell's vectors go only to query blocks with such a query (then see search). Small cells'
+    queries share a block, as each block costs a copy of what it reaches. Where no cell can be left out, as with vectors
+    in all directions, queries meet all vectors, so the products grow with the square of the table.
     """
     spark = vectors.sparkSession
 
@@ -149,13 +199,16 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     with_cell = "vec_id long, v binary, dim long, cell long, far double"
     cells = materialize(data.mapInPandas(celled, with_cell), "cells")
-    shapes = {(r.dim, r.cell): (r.n, r.far) for r in cells.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
-    salts = max(1, -(-max((n for n, _ in shapes.values()), default=0) // block))
-    salted = lambda n: F.col("cell") * n + F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    cells = cells.drop("far").withColumn("db", salted(salts))
+    parts = F.ceil(F.count(F.lit(1)) / block).cast("long").alias("parts")
+    sizes = materialize(cells.groupBy("dim", "cell").agg(parts, F.max("far").alias("far")), "sizes")
+    shapes = {(r.dim, r.cell): r.far for r in sizes.collect()}
+    sizes = F.broadcast(sizes.drop("far"))
+    hashed, each = F.xxhash64("vec_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    cells = cells.drop("far").join(sizes, ["dim", "cell"]).withColumn("db", F.pmod(hashed, F.col("parts"))).drop("parts")
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).mapInPandas(celled, with_cell).drop("far")
     queries = materialize(queries.withColumn("floor", F.lit(float("-inf"))), "queries")
-    query_salts = max(1, -(-(queries.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) // block))
+    counted = queries.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")).collect()
+    query_blocks = blocks_of({(r.dim, r.cell): r.n for r in counted}, block)
     found_schema = "query_id long, vec_id long, score long"
 
     def searched(key, q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
@@ -163,40 +216,40 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         x, y = (np.array([np.frombuffer(b) for b in p["v"]]).reshape(len(p), -1) for p in (q, d))
         top = search(x, q["vec_id"].to_numpy(), q["floor"].to_numpy(), y, d["vec_id"].to_numpy(), k)
-        out = [(int(i), int(v), -int(s)) for i, best in zip(top.ids, top.best) for s, v in sorted(best)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), top.found())))
 
-    near = queries.withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("db", F.col("cell") * salts + F.col("db"))
-    one = near.groupBy("dim", "db").cogroup(cells.groupBy("dim", "db")).applyInPandas(searched, found_schema)
+    near = queries.join(sizes, ["dim", "cell"]).withColumn("db", each).drop("parts")
+    one = near.groupBy("dim", "cell", "db").cogroup(cells.groupBy("dim", "cell", "db")).applyInPandas(searched, found_schema)
     one = materialize(one, "near")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     # a little less than the kth score, which a double may not hold
     reach = (F.col("score").cast("double") - F.abs(F.col("score").cast("double")) * F.lit(1e-15)).alias("reach")
     floors = one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), reach)
-    known = queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("reach", "floor")).drop("reach").withColumn("qb", salted(query_salts))
+    known = queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("reach", "floor")).drop("reach").withColumn("qb", F.pmod(hashed, F.lit(2**31)))
 
     def reaching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each query once for each other cell of its length in which a product can reach its floor."""
+        """Each query, with its block, once for each other cell of its length in which a product can reach its floor."""
         for pdf in batches:
-            for n, part in pdf.groupby("dim"):
+            at = np.array([query_blocks[x] for x in zip(pdf["dim"], pdf["cell"])], np.int64).reshape(-1, 2)
+            for n, part in pdf.assign(qb=at[:, 0] + pdf["qb"] % at[:, 1]).groupby("dim"):
                 mine = sorted(c for d, c in shapes if d == n)
                 x = np.array([np.frombuffer(b) for b in part["v"]]).reshape(len(part), -1)
                 for c in mine:
-                    radius, centre = shapes[n, c][1], stacked[8 * n][c] if 8 * n in stacked and n else None
+                    radius, centre = shapes[n, c], stacked[8 * n][c] if 8 * n in stacked and n else None
                     if centre is None or not np.isfinite(radius):
                         ok = np.ones(len(part), bool)
                     else:
-                        most = x @ centre + radius * np.sqrt((x * x).sum(1))
-                        ok = most + 1e-9 * np.abs(most) + 1e-6 >= part["floor"].to_numpy()
+                        most = np.maximum(x @ centre + radius * np.sqrt((x * x).sum(1)), LEAST)
+                        ok = ~(most + 1e-9 * np.abs(most) + 1e-6 < part["floor"].to_numpy())
                     ok &= part["cell"].to_numpy() != c
                     if ok.any():
                         yield part.loc[ok].assign(to=c)
 
     sent = materialize(known.mapInPandas(reaching, "vec_id long, v binary, dim long, cell long, floor double, qb long, to long"), "sent")
-    far = sent.withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("db", F.col("to") * salts + F.col("db"))
+    far = sent.drop("cell").withColumnRenamed("to", "cell").join(sizes, ["dim", "cell"]).withColumn("db", each).drop("parts")
     wanted = materialize(sent.select("dim", F.col("to").alias("cell"), "qb").distinct(), "wanted")
     spread = cells.join(wanted, ["dim", "cell"])
-    two = far.groupBy("dim", "qb", "db").cogroup(spread.groupBy("dim", "qb", "db")).applyInPandas(searched, found_schema)
+    two = far.groupBy("dim", "qb", "cell", "db").cogroup(spread.groupBy("dim", "qb", "cell", "db")).applyInPandas(searched, found_schema)
     both = one.unionByName(two)
     return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -77,6 +77,33 @@ def test_op1_odd_tables(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got)] == [(0, 1, 1, 2**63 - 1), (0, 2, 2, 2**63 - 1), (20, 1, 0, 2**63 - 1), (20, 2, 1, 2**63 - 1)]
 
 
+@pytest.mark.parametrize("kind", ["all directions", "clusters", "few values", "beyond 64 bits"])
+def test_tree_search_is_exact_and_multiplies_in_blocks(kind, monkeypatch):
+    rng = np.random.default_rng(7)
+    if kind == "clusters":
+        x = rng.integers(-500, 500, (20, 16))[rng.integers(0, 20, 1500)] + rng.integers(-4, 5, (1500, 16))
+    else:
+        x = {"all directions": rng.normal(0, 8, (3000, 64)).round(), "few values": rng.integers(-1, 2, (900, 4)), "beyond 64 bits": rng.integers(-1, 2, (200, 4)) * [2.0**51, 2**20, 2**20, 2**20]}[kind]
+    x, ids, calls, k = x.astype(float), rng.permutation(len(x)), [], 5
+    q = np.flatnonzero(ids % 4 == 0)
+    offer = topk.TopK.offer
+    monkeypatch.setattr(topk.TopK, "offer", lambda *a: calls.append(0) or offer(*a))
+    top = topk.search(x[q], ids[q], np.full(len(q), -np.inf), x, ids, k)
+    whole = [[int(v) for v in r] for r in x]
+    score = lambda i, j: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[i], whole[j]))))
+    scores = [[score(i, j) for j in range(len(x))] for i in q] if kind == "beyond 64 bits" else (x[q] @ x.T).astype(np.int64).tolist()
+    want = {(int(ids[i]), j, -s) for i, row in zip(q, scores) for s, j in sorted((-s, int(j)) for s, j in zip(row, ids) if j != ids[i])[:k]}
+    assert {tuple(map(int, r)) for r in zip(*top.found())} == want
+    # 750 queries x 3,000 vectors in all directions, of which no bound spares any: before, one product for each pair of leaves
+    assert kind != "all directions" or len(calls) <= 60
+
+
+def test_small_cells_share_a_query_block():
+    counts = {(64, c): n for c, n in enumerate([10, 20, 80, 5, 250, 30, 60])}
+    assert topk.blocks_of(counts, 100) == {(64, 0): (0, 1), (64, 1): (0, 1), (64, 2): (1, 1), (64, 3): (1, 1), (64, 4): (2, 3), (64, 5): (5, 1), (64, 6): (5, 1)}
+    assert topk.blocks_of({}, 100) == {}
+
+
 def test_digests_that_collide_are_told_apart(tmp_path):
     same = lambda b: 7
     (tmp_path / "x").write_bytes(urls.DigestArray.build(["a", "b"], [1, 2], same))
