@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from planeweave.plans.storage import materialize
 
-EXACT = 2.0**53
+EXACT, EXACT_32 = 2.0**53, 2.0**24
 LEAST, MOST = -(2**63), 2**63 - 1
 #: Products of components in one matrix product: a few milliseconds and megabytes.
 DIRECT = 2**24
@@ -66,7 +66,9 @@ class TopK:
         self.scores, self.best = np.zeros((len(ids), k), np.int64), np.zeros((len(ids), k), np.int64)
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        at, col = np.nonzero(scores >= self.worst[rows][:, None])
+        with np.errstate(over="ignore"):
+            least = self.worst[rows].astype(scores.dtype if scores.dtype.kind == "f" else float)
+        at, col = np.divmod(np.flatnonzero(scores >= least[:, None]), scores.shape[1])
         other = ids[col] != self.ids[rows[at]]
         at, col = at[other], col[other]
         if not len(at):
@@ -96,22 +98,24 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, data:
     """Walks two cover trees together; a pair of nodes goes if no inner product in it can reach the group's worst kth score.
 
     With centres p, q and radii r, s, none exceeds ``p.q + r|q| + s|p| + rs``. Components are whole numbers, so scores are
-    exact in doubles while they stay under 2**53, and are summed in Python's integers, up to the ends of 64 bits, otherwise.
-    A pair of up to ``DIRECT`` products of components is multiplied at once, as walking on would cost more than it can spare.
+    exact in doubles while they stay under 2**53 (in floats under 2**24), and are summed in Python's integers, up to the
+    ends of 64 bits, otherwise. A pair of up to ``DIRECT`` products of components is multiplied at once, as walking on would
+    cost more than it can spare.
     """
     top = TopK(query_ids, floor, k)
     a, b = CoverTree(queries), CoverTree(data)
-    large = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(1, queries.shape[1]) >= EXACT
-
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(1, queries.shape[1])
+    large, kind = most >= EXACT, np.float32 if most < EXACT_32 else float
+    x, y = (queries, data) if large else (queries.astype(kind), data.astype(kind))
     width = max(16, queries.shape[1])
 
     def multiply(rows: np.ndarray, others: np.ndarray) -> None:
-        d, step = data[others], max(1, DIRECT // (width * len(others)))
+        d, step = y[others], max(1, DIRECT // (width * len(others)))
         for part in (rows[i : i + step] for i in range(0, len(rows), step)):
             if large:
-                scores = np.array([[max(LEAST, min(MOST, sum(int(s) * int(t) for s, t in zip(u, v)))) for v in d] for u in queries[part]], np.int64)
+                scores = np.array([[max(LEAST, min(MOST, sum(int(s) * int(t) for s, t in zip(u, v)))) for v in d] for u in x[part]], np.int64)
             else:
-                scores = queries[part] @ d.T
+                scores = x[part] @ d.T
             top.offer(part, scores, ids[others])
 
     def bound(m: tuple, n: tuple) -> float:
@@ -122,8 +126,8 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, data:
         i, j = stack.pop()
         m, n = a.nodes[i], b.nodes[j]
         with np.errstate(over="ignore", invalid="ignore"):
-            most = max(bound(m, n), float(LEAST))  # as scores below are LEAST
-        if most + 1e-9 * abs(most) + 1e-6 < top.worst[m[4]].min():
+            reach = max(bound(m, n), float(LEAST))  # as scores below are LEAST
+        if reach + 1e-9 * abs(reach) + 1e-6 < top.worst[m[4]].min():
             continue
         if not m[3] and not n[3] or not large and width * len(m[4]) * len(n[4]) <= DIRECT:
             multiply(m[4], n[4])

@@ -77,13 +77,13 @@ def test_op1_odd_tables(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got)] == [(0, 1, 1, 2**63 - 1), (0, 2, 2, 2**63 - 1), (20, 1, 0, 2**63 - 1), (20, 2, 1, 2**63 - 1)]
 
 
-@pytest.mark.parametrize("kind", ["all directions", "clusters", "few values", "beyond 64 bits"])
+@pytest.mark.parametrize("kind", ["all directions", "clusters", "few values", "beyond 24 bits", "beyond 64 bits"])
 def test_tree_search_is_exact_and_multiplies_in_blocks(kind, monkeypatch):
     rng = np.random.default_rng(7)
     if kind == "clusters":
         x = rng.integers(-500, 500, (20, 16))[rng.integers(0, 20, 1500)] + rng.integers(-4, 5, (1500, 16))
     else:
-        x = {"all directions": rng.normal(0, 8, (3000, 64)).round(), "few values": rng.integers(-1, 2, (900, 4)), "beyond 64 bits": rng.integers(-1, 2, (200, 4)) * [2.0**51, 2**20, 2**20, 2**20]}[kind]
+        x = {"all directions": rng.normal(0, 8, (3000, 64)).round(), "few values": rng.integers(-1, 2, (900, 4)), "beyond 24 bits": 2**20 + rng.integers(-3, 4, (900, 4)), "beyond 64 bits": rng.integers(-1, 2, (200, 4)) * [2.0**51, 2**20, 2**20, 2**20]}[kind]
     x, ids, calls, k = x.astype(float), rng.permutation(len(x)), [], 5
     q = np.flatnonzero(ids % 4 == 0)
     offer = topk.TopK.offer
