@@ -15,6 +15,10 @@ from planeweave.operators.rings import EDGE, ray_nearest, spokes
 from planeweave.plans.storage import materialize
 
 
+#: Of the rows of degrees(), those where chains end: all but those with one edge in, one out, and equal power.
+CHAIN_END = "not (n_out = 1 and n_in = 1 and p_out = p_in)"
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(gid, x, y, n_out, n_in, p_out, p_in): edges and power that leave and enter each vertex."""
     ends = F.array(
@@ -28,7 +32,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def chain_ends(edges: DataFrame) -> DataFrame:
     """The rows of degrees() where chains end: all but those with one edge in, one out, and equal power."""
-    return degrees(edges).where("not (n_out = 1 and n_in = 1 and p_out = p_in)")
+    return degrees(edges).where(CHAIN_END)
 
 
 def vertex_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:

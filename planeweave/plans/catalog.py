@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planeweave.functions.exact import along, cross, crossing, pixel_hit, side
-from planeweave.operators import arrange, grid, halfedges, rings
+from planeweave.operators import grid, halfedges
 from planeweave.plans.layers import SQL_FRAMES, SQL_RECTS, SQL_TRIANGLES, frames, rect_a, rect_b, triangles
 from planeweave.plans.overlay import Overlay
 from planeweave.plans.storage import materialize
@@ -150,29 +150,23 @@ def overlay_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("segment_intersections", _sql(" select distinct gid, x1, y1, x2, y2, u1, v1, u2, v2, x, y from crossing"))
 def segment_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = tri_overlay(spark, sf_dir)
-    found = arrange.crossings(o.bag, o.cell, o.wide)
+    found = tri_overlay(spark, sf_dir).ask("crossings")
     return _plain(found).withColumnsRenamed({"o_x1": "u1", "o_y1": "v1", "o_x2": "u2", "o_y2": "v2"})
 
 
 @query("hot_pixels", _sql(" select gid, x, y from pixels"))
 def hot_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = tri_overlay(spark, sf_dir)
-    return _plain(arrange.hot_pixels(o.bag, o.cell, o.wide))
-
-
-def _hits(o: Overlay) -> DataFrame:
-    return arrange.pixel_hits(o.bag, arrange.hot_pixels(o.bag, o.cell, o.wide), o.cell, o.wide)
+    return _plain(tri_overlay(spark, sf_dir).ask("pixels"))
 
 
 @query("pixel_hits", _sql(" select gid, x1, y1, x2, y2, x, y from hits"))
 def pixel_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(_hits(tri_overlay(spark, sf_dir))).drop("m")
+    return _plain(tri_overlay(spark, sf_dir).ask("hits")).drop("m")
 
 
 @query("sub_edges", _sql(" select gid, sx, sy, ex, ey, cast(m as bigint) as m from sub"))
 def sub_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(arrange.sub_edges(_hits(tri_overlay(spark, sf_dir))))
+    return _plain(tri_overlay(spark, sf_dir).ask("sub_edges"))
 
 
 @query("edge_power", _sql(" select * from edges"))
@@ -187,18 +181,18 @@ degree as (select gid, x, y, cast(sum(o) as bigint) as n_out, cast(sum(1 - o) as
 
 @query("vertex_degrees", _sql(_DEGREES + " select * from degree"))
 def vertex_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(halfedges.degrees(tri_overlay(spark, sf_dir).edges))
+    return _plain(tri_overlay(spark, sf_dir).ask("degrees"))
 
 
 @query("vertex_balance", _sql(_DEGREES + " select gid, count(*) as vertices, count(*) filter (p_out <> p_in) as unbalanced from degree group by gid"))
 def vertex_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _plain(halfedges.degrees(tri_overlay(spark, sf_dir).edges))
+    at = _plain(tri_overlay(spark, sf_dir).ask("degrees"))
     return at.groupBy("gid").agg(F.count(F.lit(1)).alias("vertices"), F.count_if(F.col("p_out") != F.col("p_in")).alias("unbalanced"))
 
 
 @query("chain_end_vertices", _sql(_DEGREES + " select * from degree where not (n_out = 1 and n_in = 1 and p_out = p_in)"))
 def chain_end_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(halfedges.chain_ends(tri_overlay(spark, sf_dir).edges))
+    return _plain(tri_overlay(spark, sf_dir).ask("degrees")).where(halfedges.CHAIN_END)
 
 
 _INNER = _DEGREES + """,
@@ -212,7 +206,7 @@ select w.gid, fx, fy, w.x as lx, w.y as ly, cast(n as bigint) as n_points, power
 @query("chains", _sql(_INNER))
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open chains; closed ones have a query of their own."""
-    found = _plain(halfedges.chains(tri_overlay(spark, sf_dir).edges)).where("not closed")
+    found = _plain(tri_overlay(spark, sf_dir).ask("chains")).where("not closed")
     end = lambda i, c: F.element_at("path", i)[c]
     return found.select("gid", end(1, "x").alias("fx"), end(1, "y").alias("fy"), end(-1, "x").alias("lx"), end(-1, "y").alias("ly"), F.size("path").cast("long").alias("n_points"), "power")
 
@@ -225,7 +219,7 @@ round(gid, fx, fy, x, y, n) as (select e.gid, sx, sy, ex, ey, 2 from edges e joi
 select gid, fx, fy, cast(n as bigint) as n_points from round where (x, y) = (fx, fy)"""))
 def closed_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cycles without a chain end, from their least vertex."""
-    found = _plain(halfedges.chains(tri_overlay(spark, sf_dir).edges)).where("closed")
+    found = _plain(tri_overlay(spark, sf_dir).ask("chains")).where("closed")
     return found.select("gid", F.col("path")[0]["x"].alias("fx"), F.col("path")[0]["y"].alias("fy"), F.size("path").cast("long").alias("n_points"))
 
 
@@ -237,12 +231,12 @@ rooted as (select gid, a, least(a, min(root)) as root from reach group by gid, a
 
 @query("components", _sql(_COMPONENTS + " select gid, a[1] as x, a[2] as y, root[1] as cx, root[2] as cy, dense_rank() over (partition by gid order by root) - 1 as component, count(*) over (partition by gid, root) as size from rooted"))
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(halfedges.vertex_components(tri_overlay(spark, sf_dir).edges))
+    return _plain(tri_overlay(spark, sf_dir).ask("components"))
 
 
 @query("component_sizes", _sql(_COMPONENTS + " select gid, count(distinct root) as n_components, max(n) as largest from (select gid, root, count(*) over (partition by gid, root) as n from rooted) group by gid"))
 def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _plain(halfedges.vertex_components(tri_overlay(spark, sf_dir).edges))
+    found = _plain(tri_overlay(spark, sf_dir).ask("components"))
     return found.groupBy("gid").agg((F.max("component") + 1).alias("n_components"), F.max("size").alias("largest"))
 
 
@@ -256,8 +250,7 @@ select p.gid, p.x, p.y, sx as near_sx, sy as near_sy, ex as near_ex, ey as near_
 
 @query("component_rays", _sql(_COMPONENTS + _RAY))
 def component_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = tri_overlay(spark, sf_dir)
-    return _plain(halfedges.component_rays(o.edges, o.cell, o.wide))
+    return _plain(tri_overlay(spark, sf_dir).ask("component_rays"))
 
 
 _SPOKES = """,
@@ -268,12 +261,12 @@ placed as (select *, row_number() over w - 1 as place, lead(dx) over w as ndx, l
 
 @query("angular_order", _sql(_SPOKES.format(edges="edges") + " select gid, vx, vy, cast(place as integer) as place, dx, dy, forward from placed"))
 def angular_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(halfedges.angular_order(tri_overlay(spark, sf_dir).edges))
+    return _plain(tri_overlay(spark, sf_dir).ask("angular_order"))
 
 
 @query("next_half_edge", _sql(_SPOKES.format(edges="edges") + " select gid, vx + dx as sx, vy + dy as sy, vx as ex, vy as ey, vx + coalesce(ndx, fdx) as nx, vy + coalesce(ndy, fdy) as ny from placed"))
 def next_half_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(halfedges.next_half_edges(tri_overlay(spark, sf_dir).edges))
+    return _plain(tri_overlay(spark, sf_dir).ask("next_half_edges"))
 
 
 @query("half_edge_winding", _sql(_WINDING + " select gid, sx, sy, ex, ey, cast(w_right as bigint) as w from faces union all select gid, ex, ey, sx, sy, cast(w_right - power as bigint) from faces"))
@@ -291,7 +284,7 @@ ring as (select t.gid, t.f, t.n, t.area2 from tour t join follow f on f.gid = t.
 
 @query("ring_areas", _sql(_RINGS + " select gid, f[1] as rx, f[2] as ry, cast(n + 1 as bigint) as n_points, cast(area2 as bigint) as area2 from ring", "w > 0"))
 def ring_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _plain(rings.trace(tri_overlay(spark, sf_dir).boundary)[0])
+    found = _plain(tri_overlay(spark, sf_dir).ask("rings"))
     return found.select("gid", "rx", "ry", F.size("ring").cast("long").alias("n_points"), F.col("area2").cast("long").alias("area2"))
 
 

@@ -40,9 +40,15 @@ def ring_segments(ring: Column) -> Column:
 
 def segments(layer: DataFrame, keys: list[str], geometry: str = "geometry", backwards: bool = False) -> DataFrame:
     """(*keys, x1, y1, x2, y2), one row for each step of each ring; backwards turns every step round."""
-    rows = layer.select(*keys, F.explode(F.flatten(F.transform(rings_of(F.col(geometry)), ring_segments))).alias("s"))
-    a, b = ("2", "1") if backwards else ("1", "2")
-    return rows.select(*keys, F.col(f"s.x{a}").alias("x1"), F.col(f"s.y{a}").alias("y1"), F.col(f"s.x{b}").alias("x2"), F.col(f"s.y{b}").alias("y2"))
+    # generators and items of arrays are compiled, higher-order functions aren't; the step that closes a closed ring has no length
+    names = [f"__{k}" for k in range(len(keys))]
+    rows = layer.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.explode(geometry).alias("p"))
+    rows = rows.select(*names, F.explode(F.concat(F.array("p.outer_ring"), F.coalesce("p.inner_rings", F.array().cast(f"array<{RING}>")))).alias("r")).where("size(r) > 0")
+    rows = rows.select(*names, "r", F.explode(F.sequence(F.lit(0), F.size("r") - 1)).alias("i"))
+    here, after = F.get("r", F.col("i")), F.get("r", F.when(F.col("i") + 1 < F.size("r"), F.col("i") + 1).otherwise(0))
+    a, b = (after, here) if backwards else (here, after)
+    rows = rows.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], *[v[c].cast("long").alias(f"{c}{n}") for v, n in ((a, 1), (b, 2)) for c in "xy"])
+    return rows.where("x1 != x2 or y1 != y2")
 
 
 def rectangle(x: Column, y: Column, w: Column, h: Column) -> Column:
