@@ -13,6 +13,11 @@ POLYGON = f"struct<outer_ring:{RING},inner_rings:array<{RING}>>"
 MULTIPOLYGON = f"array<{POLYGON}>"
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), the value being made once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def closed(ring: Column) -> Column:
     """The ring with its first point again at the end, if it isn't there yet; empty and null rings are empty."""
     ring = F.coalesce(ring, F.array().cast(RING))
@@ -72,11 +77,12 @@ def from_wkt(wkt: Column) -> Column:
     body = F.regexp_replace(F.upper(wkt), r"\s*([(),])\s*", "$1")
     body = F.regexp_replace(body, r"^\s*POLYGON\s*(\(.*\))\s*$", "MULTIPOLYGON($1)")
     inner = F.regexp_extract(body, r"^\s*MULTIPOLYGON\s*\(\(\((.*)\)\)\)\s*$", 1)
-    point = lambda p: F.struct(F.element_at(F.split(F.trim(p), r"\s+"), 1).cast("int").alias("x"), F.element_at(F.split(F.trim(p), r"\s+"), 2).cast("int").alias("y"))
+    # marks of one character split without regular expressions, and each text is split once
+    marked = F.replace(F.replace(F.regexp_replace(inner, r"\s+", " "), F.lit(")),(("), F.lit("\x01")), F.lit("),("), F.lit("\x02"))
+    point = lambda p: _let(F.split(F.trim(p), " "), lambda w: F.struct(F.element_at(w, 1).cast("int").alias("x"), F.element_at(w, 2).cast("int").alias("y")))
     ring = lambda r: F.transform(F.split(r, ","), point)
-    rings = lambda p: F.transform(F.split(p, r"\),\("), ring)
-    polygon = lambda p: F.struct(F.element_at(rings(p), 1).alias("outer_ring"), F.slice(rings(p), 2, F.greatest(F.size(rings(p)) - 1, F.lit(0))).alias("inner_rings"))
-    return F.when(inner == "", F.array().cast(MULTIPOLYGON)).otherwise(F.transform(F.split(inner, r"\)\),\(\("), polygon))
+    polygon = lambda p: _let(F.transform(F.split(p, "\x02"), ring), lambda r: F.struct(F.element_at(r, 1).alias("outer_ring"), F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))).alias("inner_rings")))
+    return _let(marked, lambda t: F.when(t == "", F.array().cast(MULTIPOLYGON)).otherwise(F.transform(F.split(t, "\x01"), polygon)))
 
 
 def ring_area2(ring: Column) -> Column:
@@ -100,10 +106,6 @@ def canonical_ring(ring: Column) -> Column:
     Rings that enclose the same points in the same direction come out equal. A ring of no area is empty.
     """
 
-    def let(value: Column, then) -> Column:
-        """then(value), the value being made once."""
-        return F.get(F.transform(F.array(value), then), F.lit(0))
-
     def distinct(r: Column) -> Column:
         return F.filter(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), lambda p, i: ~p.eqNullSafe(F.get(r, i + 1)))
 
@@ -116,10 +118,10 @@ def canonical_ring(ring: Column) -> Column:
         return F.filter(r, bends)
 
     def turned(r: Column) -> Column:
-        starts = let(F.array_min(r), lambda least: F.filter(F.sequence(F.lit(1), F.size(r)), lambda k: F.get(r, k - 1) == least))
+        starts = _let(F.array_min(r), lambda least: F.filter(F.sequence(F.lit(1), F.size(r)), lambda k: F.get(r, k - 1) == least))
         return F.array_min(F.transform(starts, lambda k: F.concat(F.slice(r, k, F.size(r)), F.slice(r, 1, k))))
 
-    return let(let(let(closed(ring), distinct), bent), lambda r: F.when(F.size(r) > 2, turned(r)).otherwise(F.array().cast(RING)))
+    return _let(_let(_let(closed(ring), distinct), bent), lambda r: F.when(F.size(r) > 2, turned(r)).otherwise(F.array().cast(RING)))
 
 
 def canonical(multipolygon: Column) -> Column:

@@ -105,3 +105,14 @@ def test_same_geometry_and_validity(spark):
     df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "k long, a string, b string").select("k", from_wkt(F.col("a")).alias("geometry"), from_wkt(F.col("b")).alias("b"))
     assert [r.same for r in df.orderBy("k").select(same_geometry(F.col("geometry"), F.col("b")).alias("same")).collect()] == [r[2] for r in rows]
     assert {r.k: r.is_valid for r in Overlay(df, keys=["k"]).validity().collect()} == {i: r[3] for i, r in enumerate(rows)}
+
+
+def test_wkt_is_parsed_once(spark):
+    """Blanks and holes come out as before; no text is split twice, as each use of a part would write its splitting out again."""
+    rows = [("multipolygon ( ( ( 0  0 ,0 4, 4 4,4 0 , 0 0) , (1 1,2 1, 2 2,1 1) ) ,((9 9,9\t10,10 10,9 9)))",), (" POLYGON((0 0, 0 1,1 1))",), ("MULTIPOLYGON EMPTY",), (None,)]
+    df = spark.createDataFrame(rows, "w string").select(from_wkt(F.col("w")).alias("g"))
+    ring = lambda *p: [tuple(q) for q in p]
+    want = [[(ring((0, 0), (0, 4), (4, 4), (4, 0), (0, 0)), [ring((1, 1), (2, 1), (2, 2), (1, 1))]), (ring((9, 9), (9, 10), (10, 10), (9, 9)), [])], [(ring((0, 0), (0, 1), (1, 1)), [])], [], None]
+    got = [None if r.g is None else [([tuple(q) for q in p.outer_ring], [[tuple(q) for q in h] for h in p.inner_rings]) for p in r.g] for r in df.collect()]
+    assert got == want
+    assert df._jdf.queryExecution().analyzed().toString().count("split(") == 4
