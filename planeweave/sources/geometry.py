@@ -112,8 +112,9 @@ def canonical_ring(ring: Column) -> Column:
     def bent(r: Column) -> Column:
         def bends(p: Column, i: Column) -> Column:
             before, after = F.get(r, F.pmod(i - 1, F.size(r))), F.get(r, F.pmod(i + 1, F.size(r)))
-            d = [wide(a[c].cast("long") - b[c].cast("long"), True) for a, b in ((p, before), (after, p)) for c in ("x", "y")]
-            return cross(*d) != 0
+            d = [a[c].cast("long") - b[c].cast("long") for a, b in ((p, before), (after, p)) for c in ("x", "y")]
+            far = F.greatest(*[F.abs(n) for n in d]) >= F.lit(1 << 31)
+            return F.when(far, cross(*[wide(n, True) for n in d]) != 0).otherwise(cross(*d) != 0)
 
         return F.filter(r, bends)
 
@@ -133,7 +134,7 @@ def canonical(multipolygon: Column) -> Column:
 
 def same_geometry(a: Column, b: Column) -> Column:
     """Whether both are the same polygons, whatever the order of polygons and holes, where rings begin, and points on straight runs."""
-    return canonical(a).eqNullSafe(canonical(b))
+    return F.when(a.eqNullSafe(b), F.lit(True)).otherwise(canonical(a).eqNullSafe(canonical(b)))
 
 
 def envelope(x1: Column, y1: Column, x2: Column, y2: Column) -> dict[str, Column]:
